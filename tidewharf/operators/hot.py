@@ -1,0 +1,33 @@
+"""Find the keys that hold too many rows for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+# A key is hot when it holds more than this share of all rows. At most
+# 1 / HOT_SHARE keys can, so the list is small whatever the table's size.
+HOT_SHARE = 0.001
+# Below this many rows one task copes easily, whatever the share.
+HOT_ROWS = 100_000
+
+
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    *,
+    share: float = HOT_SHARE,
+    at_least: int = HOT_ROWS,
+) -> DataFrame:
+    """Keys with more than ``share`` of the rows and more than ``at_least`` rows.
+
+    The counts combine map-side, so a key with a third of the rows reaches the
+    shuffle as one row per task. The result has at most ``1 / share`` rows, which
+    makes it safe to broadcast.
+    """
+    every = df.agg(F.count(F.lit(1))).scalar()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(
+        (F.col("n") > F.lit(at_least)) & (F.col("n") > every * F.lit(share))
+    ).select(*keys)
