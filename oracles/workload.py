@@ -94,7 +94,7 @@ ORACLES = {
         group by a.p_brand""",
     "long_join_chain": f"""
         select n1.n_name as customer_nation, n2.n_name as supplier_nation,
-               cast(year(o_orderdate) as bigint) as order_year, cast(sum({REV}) as double) as revenue
+               cast(year(l_shipdate) as bigint) as ship_year, cast(sum({REV}) as double) as revenue
         from lineitem join orders on l_orderkey = o_orderkey
              join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
              join nation n1 on c_nationkey = n1.n_nationkey
@@ -120,8 +120,10 @@ ORACLES = {
         where l_discount > 1.3::double * (
             select cast(sum(cast(l_discount as decimal(18,2))) as double) / count(*)
             from lineitem b where b.l_partkey = a.l_partkey)""",
-    "low_revenue_join": f"""
-        with sales as (select l_suppkey, l_partkey, sum({REV}) as r from lineitem group by 1, 2),
+    "low_revenue_join": """
+        with sales as (select l_suppkey, l_partkey,
+                              sum(cast(l_extendedprice as decimal(18,2))) as r
+                       from lineitem group by 1, 2),
              means as (select l_suppkey, cast(sum(r) as double) / count(*) as m
                        from sales group by 1)
         select sales.l_suppkey, l_partkey, cast(r as double) as revenue

@@ -30,10 +30,13 @@ def running_sum(
     hot keys this costs the plain window plus one count of the keys.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, share=share, at_least=hot_rows).withColumn("_hot", F.lit(True))
-    sliced = df.join(
-        F.broadcast(hot), [df[k].eqNullSafe(hot[k]) for k in keys], "left"
-    ).select(*[df[c] for c in df.columns], "_hot", F.when(F.col("_hot"), slice_by).alias("_slice"))
+    hot = hot_keys(df, keys, share=share, at_least=hot_rows).select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")
+    )
+    same_key = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    sliced = df.join(F.broadcast(hot), same_key, "left").select(
+        *df.columns, "_hot", F.when(F.col("_hot"), slice_by).alias("_slice")
+    )
 
     inside = Window.partitionBy(*keys, "_hot", "_slice").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_slice")
@@ -53,10 +56,6 @@ def running_sum(
     )
     return summed.join(
         before,
-        [
-            *[F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)],
-            F.col("_hot"),
-            F.col("_slice").eqNullSafe(F.col("_at")),
-        ],
+        [*same_key, F.col("_hot"), F.col("_slice").eqNullSafe(F.col("_at"))],
         "left",
     ).select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(name))

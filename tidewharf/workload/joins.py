@@ -299,20 +299,20 @@ def theta_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
 
 
 def long_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue between nations of one region, by both nations and year."""
+    """Revenue between nations of one region, by both nations and year of shipment."""
     nation = load(spark, sf_dir, "nation").join(
         load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     orders = (
         load(spark, sf_dir, "orders")
         .join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "c_nationkey", order_year().alias("order_year"))
+        .select("o_orderkey", "c_nationkey")
     )
     flows = (
         load(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(load(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("c_nationkey", "s_nationkey", "order_year")
+        .groupBy("c_nationkey", "s_nationkey", bigint(F.year("l_shipdate")).alias("ship_year"))
         .agg(*partial(revenue_units(), "revenue"))
     )
     buyer = nation.select(
@@ -326,7 +326,7 @@ def long_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         flows.join(buyer, "c_nationkey")
         .join(seller, ["s_nationkey", "r_name"])
-        .groupBy("customer_nation", "supplier_nation", "order_year")
+        .groupBy("customer_nation", "supplier_nation", "ship_year")
         .agg(merge("revenue", REVENUE).alias("revenue"))
     )
 
@@ -394,18 +394,18 @@ def excess_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_revenue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier-part pairs earning at most a tenth of the supplier's mean."""
+    """Supplier-part pairs whose sales are at most a tenth of the supplier's mean."""
     sales = (
         load(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", "l_partkey")
-        .agg(*partial(revenue_units(), "revenue"))
+        .agg(*partial(cents("l_extendedprice"), "revenue"))
     )
     mean = sales.groupBy(F.col("l_suppkey").alias("supplier")).agg(
-        (merge("revenue", REVENUE) / F.count(F.lit(1))).alias("mean_revenue")
+        (merge("revenue", CENTS) / F.count(F.lit(1))).alias("mean_revenue")
     )
     return (
         sales.join(mean, F.col("l_suppkey") == F.col("supplier"))
-        .select("l_suppkey", "l_partkey", amount("revenue", REVENUE).alias("revenue"), "mean_revenue")
+        .select("l_suppkey", "l_partkey", amount("revenue", CENTS).alias("revenue"), "mean_revenue")
         .where(F.col("revenue") <= 0.1 * F.col("mean_revenue"))
         .drop("mean_revenue")
     )
