@@ -26,8 +26,8 @@ def hot_keys(
     shuffle as one row per task. The result has at most ``1 / share`` rows, which
     makes it safe to broadcast.
     """
-    every = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.sum("n")).scalar()
     return counts.where(
         (F.col("n") > F.lit(at_least)) & (F.col("n") > every * F.lit(share))
     ).select(*keys)

@@ -7,16 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .running import running_sum
 
 
-def median_by(df: DataFrame, key: str, value: str, *, slice_by: Column, **skew) -> DataFrame:
+def median_by(df: DataFrame, key: str, value: str, *, slice_by: Column) -> DataFrame:
     """The middle value per key (mean of the two middle ones if the count is even).
 
     Rows collapse to one count per distinct value before anything is shuffled, and
     the counts are then summed in value order.
     """
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(
-        counts, [key], [value], "_n", slice_by=slice_by, name="_upto", **skew
-    )
+    ranked = running_sum(counts, [key], [value], "_n", slice_by=slice_by, name="_upto")
     sizes = counts.groupBy(key).agg(F.sum("_n").alias("_size"))
     lower = F.floor((F.col("_size") + 1) / 2)
     upper = F.floor(F.col("_size") / 2) + 1

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .hot import HOT_ROWS, HOT_SHARE, hot_keys
-
 
 def running_sum(
     df: DataFrame,
@@ -16,46 +14,52 @@ def running_sum(
     value: str,
     *,
     slice_by: Column,
+    hot: DataFrame | None = None,
+    with_peers: bool = False,
     name: str = "running",
-    share: float = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over ``keys`` up to and including each row in ``order``.
 
-    A plain window sends all rows of a key to one task. Here the rows of hot keys
-    are cut into slices that follow the order (``slice_by`` must never fall as
-    ``order`` rises, e.g. the month of a date). Each slice is summed on its own;
-    what came before it is added from the slice totals, of which there is one
-    row per hot key and slice. Rows of other keys form a single slice, so without
-    hot keys this costs the plain window plus one count of the keys.
+    A plain window sends all rows of a key to one task. Here they are cut into
+    slices that follow the order: ``slice_by`` must never fall as ``order`` rises,
+    e.g. the day of a time. Each slice starts from what the earlier slices of its
+    key add up to, which is one extra row at its front. So the rows are shuffled
+    once, as in the plain window, and the slice totals beside them are one row per
+    key and slice.
+
+    ``hot`` lists the keys worth slicing (see ``hot_keys``); the others stay whole.
+    Without it every key is sliced. ``with_peers`` includes all rows equal in
+    ``order`` to the current one.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, share=share, at_least=hot_rows).select(
-        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")
-    )
-    same_key = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-    sliced = df.join(F.broadcast(hot), same_key, "left").select(
-        *df.columns, "_hot", F.when(F.col("_hot"), slice_by).alias("_slice")
-    )
-
-    inside = Window.partitionBy(*keys, "_hot", "_slice").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("_slice")
-    before = (
-        sliced.where(F.col("_hot"))
-        .groupBy(*keys, "_slice")
-        .agg(F.sum(value).alias("_total"))
-        .select(
-            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
-            F.col("_slice").alias("_at"),
-            F.sum("_total").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+    if hot is None:
+        sliced = df.withColumn("_slice", slice_by)
+        cut = sliced
+    else:
+        listed = hot.select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")
+        )
+        same_key = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+        sliced = df.join(F.broadcast(listed), same_key, "left").select(
+            *df.columns, F.when(F.col("_hot"), F.struct(slice_by.alias("at"))).alias("_slice")
         )
+        cut = sliced.where(F.col("_slice").isNotNull())
+
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = (
+        cut.groupBy(*keys, "_slice")
+        .agg(F.sum(value).alias(value))
+        .select(*keys, "_slice", F.sum(value).over(earlier).alias(value), F.lit(True).alias("_start"))
+        .where(F.col(value).isNotNull())
     )
-    summed = sliced.withColumn(
-        "_inside",
-        F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    window = Window.partitionBy(*keys, "_slice").orderBy(F.desc_nulls_last("_start"), *order)
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    window = window.rangeBetween(*frame) if with_peers else window.rowsBetween(*frame)
+    return (
+        sliced.unionByName(starts, allowMissingColumns=True)
+        .withColumn(name, F.sum(value).over(window))
+        .where(F.col("_start").isNull())
+        .drop("_slice", "_start")
     )
-    return summed.join(
-        before,
-        [*same_key, F.col("_hot"), F.col("_slice").eqNullSafe(F.col("_at"))],
-        "left",
-    ).select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(name))

@@ -22,6 +22,7 @@ def file_sink(
     field_delimiter: str = ",",
     row_delimiter: str = "\n",
     header: bool = False,
+    null_value: str = "",
     codec: str = "none",
     columns: Sequence[str] | None = None,
     partition_by: Sequence[str] = (),
@@ -38,6 +39,8 @@ def file_sink(
 
     fmt                     csv, json, orc, parquet or xml; "text" means csv
     columns                 write these columns, in this order
+    null_value              text for null in csv; the default reads back the same for
+                            null and for an empty string, "\\N" keeps them apart
     partition_by            one directory per value; ``rebalance`` first gathers
                             the rows of a value into a few tasks, and Spark splits
                             a value that is too large for one
@@ -72,7 +75,7 @@ def file_sink(
     fmt = "csv" if fmt == "text" else fmt
     options = {"compression": codec, "maxRecordsPerFile": str(max_rows_per_file)}
     if fmt == "csv":
-        options.update(sep=field_delimiter, lineSep=row_delimiter, header=str(header).lower())
+        options.update(sep=field_delimiter, lineSep=row_delimiter, header=str(header).lower(), nullValue=null_value)
     elif fmt == "json":
         options.update(lineSep=row_delimiter)
     elif fmt == "xml":

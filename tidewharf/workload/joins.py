@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.exact import (
     CENTS, REVENUE, amount, cents, merge, partial, revenue_units, total,
 )
-from ..operators import running_sum
+from ..operators import hot_keys, running_sum
 from ..sources import load
 from .common import bigint, count_rows, customers_of, in_year, order_year
 
@@ -223,40 +223,21 @@ def range_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     An order's partners are those dated up to 30 days later less those dated up
     to the same day. Both are running counts, so the pairs are never formed.
     """
-    days = (
-        load(spark, sf_dir, "orders")
-        .groupBy("o_custkey", F.col("o_orderdate").alias("at"))
-        .agg(count_rows("n"))
-    )
-    points = (
-        days.select(
-            "o_custkey",
-            F.explode(
-                F.array(
-                    F.struct("at", F.col("n").alias("seen"), (-F.col("n")).alias("weight")),
-                    F.struct(
-                        (F.col("at") + F.expr("interval 30 days")).alias("at"),
-                        F.lit(0).cast("bigint").alias("seen"),
-                        F.col("n").alias("weight"),
-                    ),
-                )
-            ).alias("p"),
-        )
-        .groupBy("o_custkey", "p.at")
-        .agg(F.sum("p.seen").alias("seen"), F.sum("p.weight").alias("weight"))
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    points = orders.selectExpr(
+        "o_custkey",
+        "stack(2, o_orderdate, 0, 1, o_orderdate + interval 30 days, 1, 0) AS (at, turn, seen)",
     )
     counted = running_sum(
-        points, ["o_custkey"], ["at"], "seen", slice_by=F.date_trunc("month", "at"),
-        name="up_to", **skew,
-    )
-    return (
-        counted.groupBy("o_custkey")
-        .agg(F.sum(F.col("weight") * F.col("up_to")).alias("n_pairs"))
-        .where("n_pairs > 0")
+        points, ["o_custkey"], ["at", "turn"], "seen", with_peers=True,
+        slice_by=F.col("at").cast("date"), hot=hot_keys(orders, ["o_custkey"], **skew),
+        name="up_to",
     )
+    later = F.when(F.col("turn") == 1, F.col("up_to")).otherwise(-F.col("up_to"))
+    return counted.groupBy("o_custkey").agg(F.sum(later).alias("n_pairs")).where("n_pairs > 0")
 
 
-def theta_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a part and a larger one cheaper by over 50, counted by brand.
 
     Two sizes differ first at one bit, where the larger has 1 and the smaller 0.
@@ -288,7 +269,7 @@ def theta_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     )
     counted = running_sum(
         filed.unionByName(lookups), ["bit", "prefix"], ["price", "turn", "p_brand"], "larger",
-        slice_by=F.floor("price"), name="cheaper_larger", **skew,
+        slice_by=F.floor("price"), name="cheaper_larger",
     )
     return (
         counted.where("turn = 0")

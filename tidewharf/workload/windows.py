@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.exact import (
     CENTS, REVENUE, amount, cents, merge, partial, regroup, revenue_units,
 )
-from ..operators import running_sum
+from ..operators import hot_keys, running_sum
 from ..sources import load
 from .common import bigint
 
@@ -87,7 +87,8 @@ def running_total(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     )
     return running_sum(
         orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents",
-        slice_by=F.col("o_orderdate").cast("date"), name="spent", **skew,
+        slice_by=F.col("o_orderdate").cast("date"), hot=hot_keys(orders, ["o_custkey"], **skew),
+        name="spent",
     ).select(
         "o_custkey", "o_orderkey", (F.col("spent").cast("double") / F.lit(CENTS)).alias("spent")
     )
