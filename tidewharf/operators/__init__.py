@@ -1,5 +1,5 @@
 from .changes import apply_changes
-from .hot import hot_keys
+from .hot import hot_keys, uneven_join
 from .median import median_by
 from .readiness import readiness
 from .running import running_sum
@@ -13,4 +13,5 @@ __all__ = [
     "readiness",
     "running_sum",
     "tag_rows",
+    "uneven_join",
 ]

@@ -1,4 +1,4 @@
-"""Find the keys that hold too many rows for one task."""
+"""Find keys that hold too many rows for one task, and join around them."""
 
 from __future__ import annotations
 
@@ -6,28 +6,48 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is hot when it holds more than this share of all rows. At most
-# 1 / HOT_SHARE keys can, so the list is small whatever the table's size.
-HOT_SHARE = 0.001
-# Below this many rows one task copes easily, whatever the share.
+# At most this many keys count as hot, so their list is small whatever the size of
+# the table. Every key beyond them holds less than 1 / MOST_KEYS of the rows.
+MOST_KEYS = 1000
+# Below this many rows one task copes easily.
 HOT_ROWS = 100_000
 
 
 def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    *,
-    share: float = HOT_SHARE,
-    at_least: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], *, at_least: int = HOT_ROWS, most: int = MOST_KEYS
 ) -> DataFrame:
-    """Keys with more than ``share`` of the rows and more than ``at_least`` rows.
+    """The up to ``most`` keys with the most rows, if they have over ``at_least``.
 
     The counts combine map-side, so a key with a third of the rows reaches the
-    shuffle as one row per task. The result has at most ``1 / share`` rows, which
-    makes it safe to broadcast.
+    shuffle as one row per task. Count a base table rather than something derived
+    from it: that reads the key columns only.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    every = counts.agg(F.sum("n")).scalar()
-    return counts.where(
-        (F.col("n") > F.lit(at_least)) & (F.col("n") > every * F.lit(share))
-    ).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = counts.where(F.col("_n") > at_least)
+    return crowded.orderBy(F.desc("_n"), *keys).limit(most).select(*keys)
+
+
+def uneven_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    hot: DataFrame,
+    how: str = "inner",
+) -> DataFrame:
+    """Inner or semi join to a side that has one row per key, hot keys apart.
+
+    Rows of the keys in ``hot`` (see ``hot_keys``) meet their few partners by broadcast
+    and are not shuffled at all. The rest is joined as usual. (Spark
+    splits skewed partitions itself only where both sides come straight from a
+    shuffle, which a side that was just aggregated does not.)
+    """
+    listed = F.broadcast(hot.select(F.col(hot.columns[0]).alias("_hot")))
+    partners = right.join(listed, F.col(right_key) == F.col("_hot")).drop("_hot")
+    marked = left.join(listed, F.col(left_key) == F.col("_hot"), "left")
+    crowded = marked.where(F.col("_hot").isNotNull()).drop("_hot")
+    others = marked.where(F.col("_hot").isNull()).drop("_hot")
+    match = F.col(left_key) == F.col(right_key)
+    return crowded.join(F.broadcast(partners), match, how).unionByName(
+        others.join(right, match, how)
+    )

@@ -15,17 +15,30 @@ def count_rows(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def order_year() -> Column:
-    return bigint(F.year("o_orderdate"))
-
-
-def in_year(column: str, year: int) -> Column:
+def in_years(column: str, first: int, last: int) -> Column:
     """A range on the date itself, so that it reaches the Parquet scan."""
-    first = F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz")
-    after = F.lit(f"{year + 1}-01-01 00:00:00").cast("timestamp_ntz")
-    return (F.col(column) >= first) & (F.col(column) < after)
+    start = F.lit(f"{first}-01-01 00:00:00").cast("timestamp_ntz")
+    end = F.lit(f"{last + 1}-01-01 00:00:00").cast("timestamp_ntz")
+    return (F.col(column) >= start) & (F.col(column) < end)
 
 
-def customers_of(spark: SparkSession, sf_dir: str, condition: Column) -> DataFrame:
-    """Distinct customers having an order that meets ``condition``."""
-    return load(spark, sf_dir, "orders").where(condition).select("o_custkey").distinct()
+def in_year(column: str, year: int) -> Column:
+    return in_years(column, year, year)
+
+
+def customer_years(
+    spark: SparkSession, sf_dir: str, years: tuple[int, ...], condition: Column | None = None
+) -> DataFrame:
+    """Customers with an order in one of ``years``, and a flag ``in_<year>`` for each.
+
+    One scan and one grouping, where set operations on yearly sets would scan the
+    orders once per year.
+    """
+    orders = load(spark, sf_dir, "orders")
+    if condition is not None:
+        orders = orders.where(condition)
+    return (
+        orders.where(in_years("o_orderdate", min(years), max(years)))
+        .groupBy("o_custkey")
+        .agg(*[F.bool_or(in_year("o_orderdate", y)).alias(f"in_{y}") for y in years])
+    )

@@ -13,20 +13,16 @@ from .common import bigint, count_rows
 
 
 def union_channel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales and (negative) returns, rolled up by channel and status."""
-    lines = load(spark, sf_dir, "lineitem").select(
-        "l_returnflag", "l_linestatus", revenue_units().alias("units")
-    )
-    sales = lines.where("l_returnflag = 'N'").select(
-        F.lit("sales").alias("channel"), "l_linestatus", "units"
-    )
-    returns = lines.where("l_returnflag = 'R'").select(
-        F.lit("returns").alias("channel"), "l_linestatus", (-F.col("units")).alias("units")
-    )
+    """Sales and (negative) returns, rolled up by channel and status.
+
+    Both branches of the union are filters of one table, so it is read once.
+    """
+    sold = F.col("l_returnflag") == "N"
     return (
-        sales.unionByName(returns)
-        .groupBy("channel", "l_linestatus")
-        .agg(*partial(F.col("units"), "amount"))
+        load(spark, sf_dir, "lineitem")
+        .where(F.col("l_returnflag").isin("N", "R"))
+        .groupBy(F.when(sold, "sales").otherwise("returns").alias("channel"), "l_linestatus")
+        .agg(*partial(F.when(sold, revenue_units()).otherwise(-revenue_units()), "amount"))
         .rollup("channel", "l_linestatus")
         .agg(merge("amount", REVENUE).alias("amount"))
     )

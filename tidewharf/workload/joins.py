@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exact import (
     CENTS, REVENUE, amount, cents, merge, partial, revenue_units, total,
 )
-from ..operators import hot_keys, running_sum
+from ..operators import hot_keys, running_sum, uneven_join
 from ..sources import load
-from .common import bigint, count_rows, customers_of, in_year, order_year
+from .common import bigint, count_rows, customer_years, in_year
 
 
 def star_brand_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +18,13 @@ def star_brand_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_part = (
         load(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_partkey", order_year().alias("order_year"))
+        .groupBy("l_partkey")
         .agg(*partial(revenue_units(), "revenue"))
     )
     part = load(spark, sf_dir, "part").where("p_type = 'PROMO'")
     return (
         by_part.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("order_year", "p_brand")
+        .groupBy(bigint(F.lit(1998)).alias("order_year"), "p_brand")
         .agg(merge("revenue", REVENUE).alias("revenue"))
         .orderBy(F.desc("revenue"), "p_brand")
         .limit(10)
@@ -68,29 +68,32 @@ def _spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def above_group_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+def above_group_average(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     """Customers spending over 1.2 times their nation's average."""
+    customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     spend = _spend(spark, sf_dir).join(
-        load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+        customer, F.col("o_custkey") == F.col("c_custkey")
     ).select("c_custkey", "c_nationkey", "spend_hi", "spend_lo")
     average = spend.groupBy(F.col("c_nationkey").alias("nation")).agg(
         (merge("spend", CENTS) / F.count(F.lit(1))).alias("nation_average")
     )
+    hot = hot_keys(customer, ["c_nationkey"], **skew)
     return (
-        spend.join(average, F.col("c_nationkey") == F.col("nation"))
+        uneven_join(spend, average, "c_nationkey", "nation", hot)
         .select("c_custkey", "c_nationkey", amount("spend", CENTS).alias("total"), "nation_average")
         .where(F.col("total") > 1.2 * F.col("nation_average"))
         .drop("nation_average")
     )
 
 
-def subquery_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subquery_having(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     """Lines of parts priced over 1.03 times their type's average, by nation."""
     part = load(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     average = part.groupBy(F.col("p_type").alias("type")).agg(
         (total(cents("p_retailprice"), CENTS) / F.count(F.lit(1))).alias("type_average")
     )
-    dear = part.join(average, F.col("p_type") == F.col("type")).where(
+    hot = hot_keys(part, ["p_type"], **skew)
+    dear = uneven_join(part, average, "p_type", "type", hot).where(
         F.col("p_retailprice") > 1.03 * F.col("type_average")
     )
     by_order = (
@@ -183,19 +186,15 @@ def left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_outer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with an 'F' order in 1996 only, in 1997 only, in both."""
-    f_order = F.col("o_orderstatus") == "F"
-    first = customers_of(spark, sf_dir, in_year("o_orderdate", 1996) & f_order)
-    second = customers_of(spark, sf_dir, in_year("o_orderdate", 1997) & f_order)
-    a, b = F.col("a.o_custkey"), F.col("b.o_custkey")
-    return (
-        first.alias("a")
-        .join(second.alias("b"), a == b, "full_outer")
-        .agg(
-            F.count_if(b.isNull()).alias("only_1996"),
-            F.count_if(a.isNull()).alias("only_1997"),
-            F.count_if(a.isNotNull() & b.isNotNull()).alias("both_years"),
-        )
+    """Customers with an 'F' order in 1996 only, in 1997 only, in both.
+
+    A full outer join of the two yearly sets, done as one pass over the orders.
+    """
+    active = customer_years(spark, sf_dir, (1996, 1997), F.col("o_orderstatus") == "F")
+    return active.agg(
+        F.count_if(F.expr("in_1996 and not in_1997")).alias("only_1996"),
+        F.count_if(F.expr("not in_1996 and in_1997")).alias("only_1997"),
+        F.count_if(F.expr("in_1996 and in_1997")).alias("both_years"),
     )
 
 
@@ -356,53 +355,64 @@ def or_predicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excess_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines discounted over 1.3 times their part's average.
 
-    Lines are first counted per part and discount, so the join back to the
-    average meets at most one row per distinct discount of a part.
+    Lines are first counted per part and discount. Discounts are whole per cents,
+    so the window over a part meets about a hundred rows, however often it sold.
     """
     rates = (
         load(spark, sf_dir, "lineitem")
         .groupBy("l_partkey", cents("l_discount").alias("rate"))
         .agg(count_rows("n"), *partial(cents("l_extendedprice"), "price"))
     )
-    average = rates.groupBy(F.col("l_partkey").alias("partkey")).agg(
-        (F.sum(F.col("rate") * F.col("n")) / F.lit(CENTS) / F.sum("n")).alias("average")
-    )
+    of_part = Window.partitionBy("l_partkey")
+    total_rate = F.sum(F.col("rate") * F.col("n")).over(of_part)
     return (
-        rates.join(average, F.col("l_partkey") == F.col("partkey"))
+        rates.withColumn("average", total_rate / F.lit(CENTS) / F.sum("n").over(of_part))
         .where(F.col("rate") / F.lit(CENTS) > 1.3 * F.col("average"))
         .agg(F.sum("n").alias("n_lines"), merge("price", CENTS).alias("price"))
     )
 
 
-def low_revenue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def low_revenue_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     """Supplier-part pairs whose sales are at most a tenth of the supplier's mean."""
-    sales = (
-        load(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", "l_partkey")
-        .agg(*partial(cents("l_extendedprice"), "revenue"))
+    lines = load(spark, sf_dir, "lineitem")
+    sales = lines.groupBy("l_suppkey", "l_partkey").agg(
+        *partial(cents("l_extendedprice"), "revenue")
     )
     mean = sales.groupBy(F.col("l_suppkey").alias("supplier")).agg(
         (merge("revenue", CENTS) / F.count(F.lit(1))).alias("mean_revenue")
     )
+    hot = hot_keys(lines, ["l_suppkey"], **skew)
     return (
-        sales.join(mean, F.col("l_suppkey") == F.col("supplier"))
+        uneven_join(sales, mean, "l_suppkey", "supplier", hot)
         .select("l_suppkey", "l_partkey", amount("revenue", CENTS).alias("revenue"), "mean_revenue")
         .where(F.col("revenue") <= 0.1 * F.col("mean_revenue"))
         .drop("mean_revenue")
     )
 
 
-def frequent_items_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frequent_items_max(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
     """Revenue of often-sold parts bought by customers near the top spender."""
     lines = load(spark, sf_dir, "lineitem")
-    frequent = lines.groupBy("l_partkey").agg(count_rows("n")).where("n > 40")
-    spend = _spend(spark, sf_dir).select("o_custkey", amount("spend", CENTS).alias("spent"))
+    frequent = (
+        lines.groupBy(F.col("l_partkey").alias("partkey"))
+        .agg(count_rows("n_sold"))
+        .where("n_sold > 40")
+    )
+    spend = _spend(spark, sf_dir).select(
+        F.col("o_custkey").alias("customer"), amount("spend", CENTS).alias("spent")
+    )
     best = spend.where(F.col("spent") > 0.7 * spend.agg(F.max("spent")).scalar())
-    orders = load(spark, sf_dir, "orders").join(best.select("o_custkey"), "o_custkey", "left_semi")
-    return (
-        lines.join(frequent.select("l_partkey"), "l_partkey", "left_semi")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-        .agg(count_rows("n_lines"), total(revenue_units(), REVENUE).alias("revenue"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    best_orders = uneven_join(
+        orders, best, "o_custkey", "customer", hot_keys(orders, ["o_custkey"], **skew), "left_semi"
+    )
+    by_part = (
+        lines.join(best_orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        .groupBy("l_partkey")
+        .agg(count_rows("n"), *partial(revenue_units(), "revenue"))
+    )
+    return by_part.join(frequent, F.col("l_partkey") == F.col("partkey")).agg(
+        F.sum("n").alias("n_lines"), merge("revenue", REVENUE).alias("revenue")
     )
 
 
@@ -422,18 +432,21 @@ def count_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intersect_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers who ordered in each of three years."""
-    y1996, y1997, y1998 = (
-        customers_of(spark, sf_dir, in_year("o_orderdate", year)) for year in (1996, 1997, 1998)
+    """Customers who ordered in each of three years: an intersection in one pass."""
+    return (
+        customer_years(spark, sf_dir, (1996, 1997, 1998))
+        .where("in_1996 and in_1997 and in_1998")
+        .agg(count_rows("n_customers"))
     )
-    return y1996.intersect(y1997).intersect(y1998).agg(count_rows("n_customers"))
 
 
 def except_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers who ordered in 1996 and not in 1997."""
-    y1996 = customers_of(spark, sf_dir, in_year("o_orderdate", 1996))
-    y1997 = customers_of(spark, sf_dir, in_year("o_orderdate", 1997))
-    return y1996.subtract(y1997).agg(count_rows("n_customers"))
+    """Customers who ordered in 1996 and not in 1997: a difference in one pass."""
+    return (
+        customer_years(spark, sf_dir, (1996, 1997))
+        .where("in_1996 and not in_1997")
+        .agg(count_rows("n_customers"))
+    )
 
 
 QUERIES = {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.exact import CENTS, cents, merge, partial, total
+from ..functions.exact import CENTS, cents, merge, partial
 from ..sources import load
 from .common import bigint, count_rows, in_year
 
@@ -33,23 +33,36 @@ def _supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def month_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity shipped in 1997 per supplier nation, one column per month."""
-    by_month = (
-        load(spark, sf_dir, "lineitem")
-        .where(in_year("l_shipdate", 1997))
-        .groupBy("l_suppkey", F.month("l_shipdate").alias("month"))
-        .agg(*partial(cents("l_quantity"), "qty"))
+def _nation_quantities(
+    spark: SparkSession, sf_dir: str, lines: DataFrame, columns: dict[str, Column]
+) -> DataFrame:
+    """Quantity per supplier nation, one column per condition.
+
+    Summed per supplier first: one row each, already placed for the join.
+    """
+    halves = [
+        half
+        for name, condition in columns.items()
+        for half in partial(F.when(condition, cents("l_quantity")), name)
+    ]
+    suppliers = load(spark, sf_dir, "supplier").join(
+        load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
     return (
-        by_month.join(_supplier_nation(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.groupBy("l_suppkey")
+        .agg(*halves)
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("n_name")
-        .agg(
-            *[
-                F.coalesce(merge("qty", CENTS, when=F.col("month") == i), F.lit(0.0)).alias(name)
-                for i, name in enumerate(MONTHS, start=1)
-            ]
-        )
+        .agg(*[F.coalesce(merge(name, CENTS), F.lit(0.0)).alias(name) for name in columns])
+    )
+
+
+def month_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity shipped in 1997 per supplier nation, one column per month."""
+    lines = load(spark, sf_dir, "lineitem").where(in_year("l_shipdate", 1997))
+    month = F.month("l_shipdate")
+    return _nation_quantities(
+        spark, sf_dir, lines, {name: month == i for i, name in enumerate(MONTHS, start=1)}
     )
 
 
@@ -59,19 +72,10 @@ def before_after_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
         for day in ("1998-05-02", "1998-06-01", "1998-07-01")
     )
-    by_supplier = (
-        load(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate").between(first, last))
-        .groupBy("l_suppkey", (F.col("l_shipdate") < pivot).alias("before"))
-        .agg(*partial(cents("l_quantity"), "qty"))
-    )
-    return (
-        by_supplier.join(_supplier_nation(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("n_name")
-        .agg(
-            F.coalesce(merge("qty", CENTS, when=F.col("before")), F.lit(0.0)).alias("qty_before"),
-            F.coalesce(merge("qty", CENTS, when=~F.col("before")), F.lit(0.0)).alias("qty_after"),
-        )
+    shipped = F.col("l_shipdate")
+    lines = load(spark, sf_dir, "lineitem").where(shipped.between(first, last))
+    return _nation_quantities(
+        spark, sf_dir, lines, {"qty_before": shipped < pivot, "qty_after": shipped >= pivot}
     )
 
 
