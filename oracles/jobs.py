@@ -106,7 +106,7 @@ ORACLES = {
     "sql_transform": """
         select o_orderpriority, cast(month(o_orderdate) as bigint) as order_month,
                count(*) as n_orders
-        from orders where o_orderstatus = 'F' group by 1, 2""",
+        from orders group by 1, 2""",
     "job_chain": """
         select c_mktsegment, c_nationkey, count(*) as n_orders
         from orders join customer on o_custkey = c_custkey group by 1, 2""",
@@ -125,13 +125,13 @@ ORACLES = {
     "file_sink_run_stamp": f"""
         select case o_orderstatus when 'F' then '20240101000000' else '20240102000000' end as run,
                o_orderstatus, count(*) as n_orders, {TOTAL} as price,
-               o_orderstatus = 'O' as latest
-        from orders where o_orderstatus in ('F', 'O') group by o_orderstatus""",
+               o_orderstatus <> 'F' as latest
+        from orders group by o_orderstatus""",
     "file_sink_staged": "select * from orders",
     "table_sink_append": "select * from orders",
     "table_sink_data_modes": _modes([
-        ("append", "accepted", "'F', 'O'"),
-        ("overwrite", "accepted", "'O'"),
+        ("append", "accepted", "'F', 'O', 'P'"),
+        ("overwrite", "accepted", "'O', 'P'"),
         ("error_if_data", "refused", "'F'"),
         ("ignore_if_data", "accepted", "'F'"),
     ]),

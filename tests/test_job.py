@@ -1,6 +1,9 @@
+import uuid
+
 import pytest
 
-from tidewharf.plans import FileSink, Job, ParquetSource, SqlTransform, TableSink
+from tidewharf.plans import FileSink, JdbcSource, Job, ParquetSource, SqlTransform, TableSink
+from tidewharf.sinks import jdbc_sink
 
 
 @pytest.fixture
@@ -29,6 +32,18 @@ def test_two_sinks_and_a_named_input(spark, numbers, tmp_path, db):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
+def test_database_is_read_once_for_two_sinks(spark, tmp_path, rows):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    jdbc_sink(spark.range(50), url, "t", driver=driver)
+    source = JdbcSource(url, "SELECT * FROM t", driver, {"partition_column": "id"})
+    sinks = {n: FileSink(f"{tmp_path}/{n}", {"fmt": "parquet"}) for n in ("a", "b")}
+    Job(source={"n4": source}, sink=sinks, env={"parallelism": "3"}).run(spark)
+    jdbc_sink(spark.range(7), url, "t", driver=driver)
+    assert spark.table("n4").count() == 50
+    assert rows(spark.read.parquet(f"{tmp_path}/a")) == rows(spark.read.parquet(f"{tmp_path}/b"))
+
+
 def test_bad_jobs(spark, numbers, tmp_path):
     sink = {"f": FileSink(f"{tmp_path}/out")}
     with pytest.raises(ValueError, match="BATCH"):

@@ -95,12 +95,12 @@ def jdbc_partitioned_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MONTHLY = """
     SELECT o_orderpriority, CAST(month(o_orderdate) AS BIGINT) AS order_month,
            count(*) AS n_orders
-    FROM {table} WHERE o_orderstatus = 'F' GROUP BY ALL"""
+    FROM {table} GROUP BY ALL"""
 
 
 @registered
 def sql_transform_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders per priority and month, through two named views."""
+    """Orders per priority and month, through two named views."""
     load(spark, sf_dir, "orders").createOrReplaceTempView("transform_input")
     sql_transform(
         spark, "transform_input", "transform_output", _MONTHLY.format(table="transform_input")
@@ -222,10 +222,10 @@ def file_sink_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_sink_run_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stamped runs side by side, and which of them is the latest."""
     orders, path = load(spark, sf_dir, "orders"), scratch_dir(spark, "stamped")
-    for day, status in ((1, "F"), (2, "O")):
+    for day, batch in ((1, "o_orderstatus = 'F'"), (2, "o_orderstatus <> 'F'")):
         file_sink(
-            orders.where(F.col("o_orderstatus") == status), path, "parquet",
-            run_stamp="%Y%m%d%H%M%S", now=datetime(2024, 1, day),
+            orders.where(batch), path, "parquet", run_stamp="%Y%m%d%H%M%S",
+            now=datetime(2024, 1, day),
         )
     newest = latest_run(spark, path).rsplit("=", 1)[1]
     return (
@@ -268,7 +268,7 @@ def table_sink_data_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = f"{db}.orders_{mode}"
         table_sink(orders.where("o_orderstatus = 'F'"), table)
         try:
-            table_sink(orders.where("o_orderstatus = 'O'"), table, data_mode=mode)
+            table_sink(orders.where("o_orderstatus <> 'F'"), table, data_mode=mode)
             outcome = "accepted"
         except ValueError:
             outcome = "refused"

@@ -251,23 +251,16 @@ def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.groupBy("p_brand", "p_size", "p_retailprice")
         .agg(count_rows("n"))
         .withColumn("bit", F.explode(bits))
-        .withColumn("prefix", F.expr("shiftright(p_size, bit)"))
+        .selectExpr("p_brand", "p_retailprice", "n", "bit", "shiftright(p_size, bit) AS prefix")
     )
-    none = F.lit(0).cast("bigint")
-    filed = (
-        cells.where("prefix % 2 = 1")
-        .groupBy("bit", "prefix", (F.col("p_retailprice") + 50).alias("price"))
-        .agg(F.sum("n").alias("larger"))
-        .select("bit", "prefix", "price", F.lit(1).alias("turn"), F.lit(None).cast("string").alias("p_brand"),
-                "larger", none.alias("n"))
-    )
-    lookups = cells.where("prefix % 2 = 0").groupBy(
-        "bit", (F.col("prefix") + 1).alias("prefix"), F.col("p_retailprice").alias("price"), "p_brand"
-    ).agg(F.sum("n").alias("n")).select(
-        "bit", "prefix", "price", F.lit(0).alias("turn"), "p_brand", none.alias("larger"), "n"
+    # turn 0 looks up and comes first, so that it sees only strictly lower prices
+    turns = cells.selectExpr(
+        "p_brand", "n", "bit", "prefix | 1 AS prefix", "prefix & 1 AS turn",
+        "IF(prefix & 1 = 1, p_retailprice + 50, p_retailprice) AS price",
+        "IF(prefix & 1 = 1, n, 0L) AS larger",
     )
     counted = running_sum(
-        filed.unionByName(lookups), ["bit", "prefix"], ["price", "turn", "p_brand"], "larger",
+        turns, ["bit", "prefix"], ["price", "turn"], "larger",
         slice_by=F.floor("price"), name="cheaper_larger",
     )
     return (
