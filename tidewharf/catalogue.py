@@ -12,8 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import benchmark
-from .functions.exact import CENTS, REVENUE, cents, revenue_units, total
-from .operators import Rule, apply_changes, tag_rows
+from .functions.exact import CENTS, cents, revenue_units, total
+from .operators import Rule, tag_rows
 from .plans import (
     FileSink, Job, ParquetSource, SqlTransform, Workspace, run_statement, sql_transform,
 )
@@ -231,7 +231,9 @@ def file_sink_run_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         spark.read.schema(f"{SCHEMAS['orders']}, run string").parquet(path)
         .groupBy("run", "o_orderstatus")
-        .agg(F.count(F.lit(1)).alias("n_orders"), total(cents("o_totalprice"), CENTS).alias("price"))
+        .agg(
+            F.count(F.lit(1)).alias("n_orders"), total(cents("o_totalprice"), CENTS).alias("price")
+        )
         .withColumn("latest", F.col("run") == newest)
     )
 
@@ -358,7 +360,9 @@ def table_sink_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         spark.table(f"{db}.orders")
         .groupBy(F.col("load_label").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n_orders"), total(cents("o_totalprice"), CENTS).alias("price"))
+        .agg(
+            F.count(F.lit(1)).alias("n_orders"), total(cents("o_totalprice"), CENTS).alias("price")
+        )
         .join(entries, "label")
     )
 

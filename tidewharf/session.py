@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +31,22 @@ def local_session(cpus: int | str = "*", app: str = "tidewharf", **conf: str) ->
     return spark
 
 
+@contextmanager
+def session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Change settings of the session and put them back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 _SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 _INPUT_PER_PARTITION = 1 << 30
 _sized: dict[tuple[str, str], int] = {}

@@ -75,7 +75,10 @@ def file_sink(
     fmt = "csv" if fmt == "text" else fmt
     options = {"compression": codec, "maxRecordsPerFile": str(max_rows_per_file)}
     if fmt == "csv":
-        options.update(sep=field_delimiter, lineSep=row_delimiter, header=str(header).lower(), nullValue=null_value)
+        options.update(
+            sep=field_delimiter, lineSep=row_delimiter, header=str(header).lower(),
+            nullValue=null_value,
+        )
     elif fmt == "json":
         options.update(lineSep=row_delimiter)
     elif fmt == "xml":

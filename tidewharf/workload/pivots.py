@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exact import CENTS, cents, merge, partial
 from ..sources import load
-from .common import bigint, count_rows, in_year
+from .common import bigint, in_year
 
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -102,7 +102,9 @@ def string_prefix_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(
         "c_custkey",
         F.substring("c_name", 1, 10).alias("prefix"),
-        F.concat(F.coalesce(name, F.lit("")), F.lit(", "), F.coalesce("c_mktsegment", F.lit(""))).alias("label"),
+        F.concat(
+            F.coalesce(name, F.lit("")), F.lit(", "), F.coalesce("c_mktsegment", F.lit(""))
+        ).alias("label"),
         bigint(F.length("c_name")).alias("name_length"),
         F.upper("c_mktsegment").alias("segment"),
         ending.alias("name_matches"),
