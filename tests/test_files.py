@@ -69,6 +69,18 @@ def test_partitioned_write_makes_few_files(spark, tmp_path):
     assert len(files(gathered)) <= 10 < len(files(spread))
 
 
+def test_crowded_partition_is_split(spark, tmp_path):
+    df = spark.range(0, 200_000, 1, 8).selectExpr("id", "IF(id % 10 = 0, id % 3, 7) AS k")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "100k")
+    try:
+        path = file_sink(df, f"{tmp_path}/out", "parquet", partition_by=["k"])
+    finally:
+        spark.conf.unset(key)
+    assert len(files(f"{path}/k=7")) > 3
+    assert spark.read.parquet(path).count() == 200_000
+
+
 def test_columns_in_order(spark, people, tmp_path):
     path = file_sink(people, f"{tmp_path}/out", "parquet", columns=["grp", "id"])
     assert spark.read.parquet(path).columns == ["grp", "id"]

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .gather import gathered
 from .publish import exists, filesystem, publish
 
 FORMATS = ("csv", "json", "orc", "parquet", "text", "xml")
@@ -69,8 +70,8 @@ def file_sink(
     if directories and keep_partition_columns:
         directories = [f"by_{c}" for c in partition_by]
         df = df.withColumns({f"by_{c}": F.col(c) for c in partition_by})
-    if directories and rebalance:
-        df = df.hint("rebalance", *directories)
+    if rebalance:
+        df = gathered(df, directories)
 
     fmt = "csv" if fmt == "text" else fmt
     options = {"compression": codec, "maxRecordsPerFile": str(max_rows_per_file)}

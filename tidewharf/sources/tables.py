@@ -37,5 +37,11 @@ SCHEMAS = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+DATABASE = "database:"
+
+
+def load(spark: SparkSession, where: str, name: str) -> DataFrame:
+    """A table from a directory of Parquet tables, or from ``database:<name>``."""
+    if where.startswith(DATABASE):
+        return spark.table(f"{where.removeprefix(DATABASE)}.{name}")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{where}/{name}.parquet")

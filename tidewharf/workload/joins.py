@@ -9,7 +9,7 @@ from ..functions.exact import (
 )
 from ..operators import hot_keys, running_sum, uneven_join
 from ..sources import load
-from .common import bigint, count_rows, customer_years, in_year
+from .common import bigint, count_rows, customer_years, in_year, in_years
 
 
 def star_brand_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,7 @@ def exists_or_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a 1996 order and (an urgent 1997 or an 'F' 1998 one), by segment."""
     active = (
         load(spark, sf_dir, "orders")
+        .where(in_years("o_orderdate", 1996, 1998))
         .groupBy("o_custkey")
         .agg(
             F.bool_or(in_year("o_orderdate", 1996)).alias("in_1996"),
@@ -309,7 +310,7 @@ def year_over_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = cents("o_totalprice")
     return (
         load(spark, sf_dir, "orders")
-        .where(in_year("o_orderdate", 1996) | in_year("o_orderdate", 1997))
+        .where(in_years("o_orderdate", 1996, 1997))
         .groupBy("o_custkey")
         .agg(
             total(F.when(in_year("o_orderdate", 1996), spent), CENTS).alias("total_1996"),
