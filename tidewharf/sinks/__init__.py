@@ -1,7 +1,9 @@
 from .files import file_sink, latest_run
 from .jdbc import jdbc_sink
 from .ledger import load_once
-from .tables import cast_unsupported_types, merge_changes, replace_table, table_sink
+from .tables import (
+    cast_unsupported_types, merge_changes, overwrite_table, replace_table, table_sink,
+)
 
 __all__ = [
     "cast_unsupported_types",
@@ -10,6 +12,7 @@ __all__ = [
     "latest_run",
     "load_once",
     "merge_changes",
+    "overwrite_table",
     "replace_table",
     "table_sink",
 ]
