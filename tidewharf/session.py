@@ -74,6 +74,9 @@ def size_shuffles(spark: SparkSession, path: str) -> None:
         spark.conf.set(_SHUFFLE_PARTITIONS, str(wanted))
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
 
@@ -84,8 +87,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidewharf-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        application = spark.sparkContext.applicationId
+        if application not in _local_scratch:
+            _local_scratch[application] = tempfile.mkdtemp(prefix="tidewharf-")
+        base = _local_scratch[application]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
