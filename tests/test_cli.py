@@ -12,7 +12,8 @@ def test_sql_prints_header_and_rows(spark, capsys):
     assert capsys.readouterr().out.splitlines() == ["id\ttwice", "0\t0", "1\t2", "2\t4"]
 
 
-def test_etl_runs_a_job_file(spark, tmp_path, capsys):
+def test_etl_runs_a_job_file(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr("tidewharf.__main__.clear_scratch", lambda spark: None)
     spark.range(10).write.parquet(f"{tmp_path}/in")
     job = {
         "source": {"cli_in": {"kind": "parquet", "path": f"{tmp_path}/in"}},

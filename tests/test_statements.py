@@ -3,14 +3,14 @@
 import pytest
 
 from tidewharf.plans import Workspace, run_statement
-from tidewharf.session import scratch_dir
+from tidewharf.session import scratch_database_name
 
 
 @pytest.fixture
 def space(spark):
-    name = scratch_dir(spark, "space").rsplit("/", 1)[1].replace("-", "_")
+    name, location = scratch_database_name(spark, "space")
     workspace = Workspace(spark, name)
-    workspace.create_database(location=scratch_dir(spark, "space"))
+    workspace.create_database(location=location)
     yield workspace
     workspace.drop_database(cascade=True)
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .benchmark import generate, run_benchmark, save_results, summarize
 from .plans import Job, run_statement
+from .session import clear_scratch
 from .sources.tables import DATABASE
 from .workload import WORKLOAD
 
@@ -62,6 +63,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             written = Job.from_spec(json.load(file)).run(spark)
         for name, result in written.items():
             print(f"{name}\t{result}")
+        clear_scratch(spark)
     elif args.command == "generate":
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{args.database}`")
         generate(spark, args.database, args.scale, args.parallel)

@@ -17,7 +17,7 @@ from .operators import Rule, tag_rows
 from .plans import (
     FileSink, Job, ParquetSource, SqlTransform, Workspace, run_statement, sql_transform,
 )
-from .session import scratch_database, scratch_dir
+from .session import scratch_database, scratch_database_name, scratch_dir
 from .sinks import (
     file_sink, jdbc_sink, latest_run, load_once, merge_changes, table_sink,
 )
@@ -430,8 +430,8 @@ def sql_drop_database(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def sql_create_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Creating twice is harmless with IF NOT EXISTS; the tables in it stay."""
-    location = scratch_dir(spark, "created")
-    space = Workspace(spark, "scratch_" + location.rsplit("/", 1)[1].replace("-", "_"))
+    name, location = scratch_database_name(spark, "created")
+    space = Workspace(spark, name)
     space.create_database(if_not_exists=False, location=location)
     space.create_table_as("customer", f"SELECT * FROM parquet.`{sf_dir}/customer.parquet`")
     space.create_database()

@@ -75,28 +75,51 @@ def size_shuffles(spark: SparkSession, path: str) -> None:
 
 
 _local_scratch: dict[str, str] = {}
+_databases: dict[str, list[str]] = {}
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder; on a cluster it
-    is an error, because executors do not share the driver's disk.
-    """
+def _application_scratch(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        application = spark.sparkContext.applicationId
         if application not in _local_scratch:
             _local_scratch[application] = tempfile.mkdtemp(prefix="tidewharf-")
         base = _local_scratch[application]
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/tidewharf-{application}"
 
 
-def scratch_database(spark: SparkSession, purpose: str) -> str:
-    """A new, empty database whose tables live in the shared scratch area."""
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it
+    is an error, because executors do not share the driver's disk.
+    """
+    return f"{_application_scratch(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_database_name(spark: SparkSession, purpose: str) -> tuple[str, str]:
+    """Name and location for a new database, which ``clear_scratch`` will drop."""
     location = scratch_dir(spark, purpose)
     name = "scratch_" + location.rsplit("/", 1)[1].replace("-", "_")
+    _databases.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name, location
+
+
+def scratch_database(spark: SparkSession, purpose: str) -> str:
+    """A new, empty database whose tables live in the shared scratch area."""
+    name, location = scratch_database_name(spark, purpose)
     spark.sql(f"CREATE DATABASE `{name}` LOCATION '{location}'")
     return name
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop this application's scratch databases and delete its scratch folder.
+
+    Call it once no result that reads them is needed any more.
+    """
+    for name in _databases.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_scratch(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
