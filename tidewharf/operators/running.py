@@ -51,7 +51,7 @@ def running_sum(
     starts = (
         cut.groupBy(*keys, "_slice")
         .agg(F.sum(value).alias(value))
-        .select(*keys, "_slice", F.sum(value).over(earlier).alias(value), F.lit(True).alias("_start"))
+        .withColumns({value: F.sum(value).over(earlier), "_start": F.lit(True)})
         .where(F.col(value).isNotNull())
     )
     window = Window.partitionBy(*keys, "_slice").orderBy(F.desc_nulls_last("_start"), *order)

@@ -27,12 +27,6 @@ def weekday_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "supplier").join(
-        load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-
-
 def _nation_quantities(
     spark: SparkSession, sf_dir: str, lines: DataFrame, columns: dict[str, Column]
 ) -> DataFrame:
