@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewharf.session import scratch_dir
 
+# For tables of large rows: row groups, and so the batches a task reads, stay small.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table of the given folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write to the shared scratch folder and read back: computed once, lineage cut.
 
     Lost executors cannot take the result with them, and every later use sees the
@@ -20,5 +25,42 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def raw_bytes(column: pa.Array) -> list[bytes | None]:
+    """The texts of a string column in UTF-8, without decoding them."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def one_list(values: np.ndarray | pa.Array) -> pa.ListArray:
+    """A list column of one row."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """A list column of ``len(counts)`` rows from their values one after another."""
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def list_values(column: pa.ListArray, row: int) -> np.ndarray:
+    """The values of one row of a list column, without a copy."""
+    start, end = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+    return column.values[start:end].to_numpy(zero_copy_only=False)
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0]+1, ... (counts[0] numbers), then the same of the next, and so on."""
+    total = int(counts.sum())
+    steps = np.ones(total, np.int64)
+    full = counts > 0
+    starts, counts = starts[full], counts[full]
+    if not total:
+        return np.zeros(0, np.int64)
+    firsts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    steps[firsts[0]] = starts[0]
+    steps[firsts[1:]] = starts[1:] - (starts[:-1] + counts[:-1] - 1)
+    return np.cumsum(steps)
