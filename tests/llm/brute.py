@@ -38,3 +38,45 @@ def contamination(documents, items, window=10):
         rows.append((doc_id, len(found), len(hit), len(names), sha(",".join(sorted(names))),
                      bool(hit)))
     return rows
+
+
+SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingle_set(text: str | None, size: int = 5) -> frozenset:
+    found = SPACES.findall((text or "").translate(UPPER))
+    if not found:
+        return frozenset()
+    return frozenset(tuple(found[i:i + size]) for i in range(max(1, len(found) - size + 1)))
+
+
+def jaccard(documents):
+    """(doc_id, n_shingles, component_id): all pairs that share a shingle are compared."""
+    sets = [shingle_set(text) for _, text in documents]
+    where, parent = defaultdict(list), list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first = {}
+    for i, own in enumerate(sets):
+        if own and (same := first.setdefault(own, i)) != i:
+            parent[root(i)] = root(same)
+            continue
+        met = {j for s in own for j in where[s]}
+        for j in met:
+            if root(i) != root(j):
+                common = len(own & sets[j])
+                if 5 * common >= 4 * (len(own) + len(sets[j]) - common):
+                    parent[root(i)] = root(j)
+        for s in own:
+            where[s].append(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(documents):
+        if doc_id is not None:
+            least[root(i)] = min(least.get(root(i), doc_id), doc_id)
+    return [(doc_id, len(sets[i]), least.get(root(i)) if sets[i] else doc_id)
+            for i, (doc_id, _) in enumerate(documents)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewharf.llm import decontaminate, toxicity
+from tidewharf.llm import decontaminate, jaccard, toxicity
 from tidewharf.llm.common import read
 
 
@@ -21,6 +21,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.col("n").cast("bigint").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -36,6 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_toxicity": op8_toxicity,
 }
 
