@@ -80,3 +80,30 @@ def jaccard(documents):
             least[root(i)] = min(least.get(root(i), doc_id), doc_id)
     return [(doc_id, len(sets[i]), least.get(root(i)) if sets[i] else doc_id)
             for i, (doc_id, _) in enumerate(documents)]
+
+
+IDENTIFIERS = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+)
+
+
+def identifiers(text: str | None):
+    """(start, kind number, end) of the plain identifiers."""
+    out = []
+    for number, (kind, pattern) in enumerate(IDENTIFIERS):
+        for m in pattern.finditer(text or ""):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            if kind == "card":
+                total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+                            for i, d in enumerate(reversed(digits)))
+                if not 14 <= len(digits) <= 19 or total % 10:
+                    continue
+            out.append((m.start(), number, m.end()))
+    return sorted(out)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewharf.llm import decontaminate, jaccard, toxicity
+from tidewharf.llm import decontaminate, jaccard, pii, sentencepiece_bpe, toxicity
 from tidewharf.llm.common import read
 
 
@@ -21,6 +22,25 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+    def base(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *[base(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_disguised"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -29,6 +49,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(
+    spark: SparkSession, sf_dir: str, model_path: str | None = None,
+) -> DataFrame:
+    model = sentencepiece_bpe.load_model(
+        model_path or public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepiece_bpe.encode(
+        read(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    return sentencepiece_bpe.decode(encoded, model).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -44,7 +79,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_pii": op4_pii,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
 }
 
