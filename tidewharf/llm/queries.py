@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewharf.llm import decontaminate, jaccard, pii, sentencepiece_bpe, toxicity
+from tidewharf.llm import (
+    decontaminate, jaccard, passages, pii, sentencepiece_bpe, syncmers, toxicity,
+)
 from tidewharf.llm.common import read
 
 
@@ -77,12 +79,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("begin").cast("bigint").alias("begin_word"),
+        F.col("end").cast("bigint").alias("end_word"), F.col("other_id").alias("other_doc_id"),
+        F.col("other_begin").cast("bigint").alias("other_begin_word"),
+        F.col("other_end").cast("bigint").alias("other_end_word"),
+        F.round("identity", 6).alias("identity"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(
+        read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_pii": op4_pii,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_passages": op9_passages,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
