@@ -7,11 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewharf.llm import (
-    decontaminate, jaccard, passages, pii, sentencepiece_bpe, syncmers, toxicity,
+    decontaminate, jaccard, licenses, lines, passages, pii, sentencepiece_bpe, syncmers,
+    token_counts, toxicity,
 )
 from tidewharf.llm.common import read
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source/language/hundred of ids/id.
+
+    The table has no paths; in this tree a short document with a license is the licence
+    file of its directory, as the operator has it for any file.
+    """
+    files = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws(
+            "/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")),
+            F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"),
+        ).alias("path"))
+    return licenses.scan(files).select(
+        "doc_id", "path", "license", "cosine", "origin", "licensed_by")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -24,6 +40,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(
+    spark: SparkSession, sf_dir: str, ranks_path: str | None = None,
+) -> DataFrame:
+    ranks = token_counts.load_ranks(
+        ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.histogram(token_counts.with_lengths(
+        read(spark, sf_dir, "documents").select("text"), ranks, public_tokenizers.PATTERN))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -51,6 +76,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_boilerplate(
+        read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 def op7_sentencepiece(
     spark: SparkSession, sf_dir: str, model_path: str | None = None,
 ) -> DataFrame:
@@ -94,13 +124,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op4_pii": op4_pii,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_passages": op9_passages,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE_SQL}
