@@ -223,7 +223,8 @@ def search(index: DataFrame, test_windows: DataFrame, *, near: int = NEAR,
            chunk: int = CHUNK) -> DataFrame:
     """Matches of the windows: block, place (document in the block), item, begin and end.
 
-    ``begin`` and ``end`` count words of the document. A row without them is a proximity
+    ``begin`` and ``end`` count words of the document; matches of an item that touch are one
+    row if they were searched for in the same chunk. A row without them is a proximity
     match: all words of a window, in any order, within ``near`` words of its rarest one.
     """
     spark = index.sparkSession
