@@ -5,7 +5,6 @@ import re
 import pytest
 
 from conftest import SF_DIR
-from tidewharf.session import size_shuffles
 from tidewharf.workload import WORKLOAD
 
 
@@ -61,15 +60,17 @@ def test_scans_read_only_needed_columns(spark):
     assert sorted(columns) == ["l_partkey,l_extendedprice,l_discount", "p_partkey,p_type"]
 
 
-def test_shuffles_are_sized_by_the_input(spark, tmp_path):
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    size_shuffles(spark, SF_DIR)
-    assert spark.conf.get(key) == before
-    with open(tmp_path / "large", "wb") as f:
-        f.truncate(20 * 2**30 + 1)  # sparse: takes no space
-    try:
-        size_shuffles(spark, str(tmp_path))
-        assert spark.conf.get(key) == "21"
-    finally:
-        spark.conf.set(key, before)
+@pytest.mark.parametrize("name", [
+    "above_group_average", "subquery_having", "low_revenue_join", "frequent_items_max",
+    "range_join", "running_total",
+])
+def test_lines_are_planned_at_most_twice(spark, no_broadcast, name):
+    text = plan(WORKLOAD[name](spark, SF_DIR))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_orderkey", text)) <= 2
+
+
+@pytest.mark.parametrize("name", sorted(WORKLOAD))
+def test_queries_leave_the_settings_alone(spark, name):
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    WORKLOAD[name](spark, SF_DIR)
+    assert {r.key: r.value for r in spark.sql("SET").collect()} == before

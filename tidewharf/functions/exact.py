@@ -21,9 +21,13 @@ REVENUE = 10_000.0
 
 
 def cents(value: Column | str) -> Column:
-    """A two-decimal double as whole cents."""
+    """A two-decimal double as whole cents; a value that is not whole cents is an error."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.rint(value * 100).cast("bigint")
+    hundredfold = value * 100
+    whole = F.rint(hundredfold)
+    off = F.abs(hundredfold - whole) > 0.001 + 1e-12 * F.abs(whole)
+    refuse = F.raise_error(F.concat(value.cast("string"), F.lit(" is not a whole number of cents")))
+    return F.when(off, refuse.cast("bigint")).otherwise(whole.cast("bigint"))
 
 
 def revenue_units() -> Column:
@@ -31,6 +35,16 @@ def revenue_units() -> Column:
     return cents("l_extendedprice") * (F.lit(100).cast("bigint") - cents("l_discount"))
 
 
+def high(units: Column) -> Column:
+    """The upper half of whole units, to be summed on its own."""
+    return F.shiftright(units, _BITS)
+
+
+def low(units: Column) -> Column:
+    """The lower half of whole units."""
+    return units.bitwiseAND(F.lit(_LOW))
+
+
 def _join_halves(high: Column, low: Column, scale: float) -> Column:
     whole = high.cast("decimal(20,0)") * F.lit(1 << _BITS) + low
     return whole.cast("double") / F.lit(scale)
@@ -38,16 +52,14 @@ def _join_halves(high: Column, low: Column, scale: float) -> Column:
 
 def total(units: Column, scale: float) -> Column:
     """Aggregate: the exact sum of whole units, as a double in currency."""
-    return _join_halves(
-        F.sum(F.shiftright(units, _BITS)), F.sum(units.bitwiseAND(F.lit(_LOW))), scale
-    )
+    return _join_halves(F.sum(high(units)), F.sum(low(units)), scale)
 
 
 def partial(units: Column, name: str) -> list[Column]:
     """Aggregates for a first grouping; ``merge`` sums them again later."""
     return [
-        F.sum(F.shiftright(units, _BITS)).alias(f"{name}_hi"),
-        F.sum(units.bitwiseAND(F.lit(_LOW))).alias(f"{name}_lo"),
+        F.sum(high(units)).alias(f"{name}_hi"),
+        F.sum(low(units)).alias(f"{name}_lo"),
     ]
 
 
@@ -60,13 +72,13 @@ def merge(
     name: str, scale: float, *, when: Column | None = None, over: WindowSpec | None = None
 ) -> Column:
     """Aggregate (or window): finish ``partial`` columns into a double in currency."""
-    high, low = F.col(f"{name}_hi"), F.col(f"{name}_lo")
+    upper, lower = F.col(f"{name}_hi"), F.col(f"{name}_lo")
     if when is not None:
-        high, low = F.when(when, high), F.when(when, low)
-    high, low = F.sum(high), F.sum(low)
+        upper, lower = F.when(when, upper), F.when(when, lower)
+    upper, lower = F.sum(upper), F.sum(lower)
     if over is not None:
-        high, low = high.over(over), low.over(over)
-    return _join_halves(high, low, scale)
+        upper, lower = upper.over(over), lower.over(over)
+    return _join_halves(upper, lower, scale)
 
 
 def amount(name: str, scale: float) -> Column:

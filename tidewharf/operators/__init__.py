@@ -1,17 +1,16 @@
 from .changes import apply_changes
-from .hot import hot_keys, uneven_join
 from .median import median_by
 from .readiness import readiness
 from .running import running_sum
+from .slices import with_totals
 from .tagging import Rule, tag_rows
 
 __all__ = [
     "Rule",
     "apply_changes",
-    "hot_keys",
     "median_by",
     "readiness",
     "running_sum",
     "tag_rows",
-    "uneven_join",
+    "with_totals",
 ]

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .hot import hot_keys, uneven_join
 from .running import running_sum
+from .slices import SLICES, with_totals
 
 
-def median_by(df: DataFrame, key: str, value: str, *, slice_by: Column, **skew) -> DataFrame:
+def median_by(
+    df: DataFrame, key: str, value: str, *, slice_by: Column, slices: int = SLICES
+) -> DataFrame:
     """The middle value per key (mean of the two middle ones if the count is even).
 
     Rows collapse to one count per distinct value before anything is shuffled, and
-    the counts are then summed in value order.
+    the counts are then summed in value order. Null values are left out.
     """
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(
+        F.count(F.lit(1)).alias("_n"))
     ranked = running_sum(counts, [key], [value], "_n", slice_by=slice_by, name="_upto")
-    sizes = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_size"))
     lower = F.floor((F.col("_size") + 1) / 2)
     upper = F.floor(F.col("_size") / 2) + 1
     return (
-        uneven_join(ranked, sizes, key, "_key", hot_keys(df, [key], **skew))
+        with_totals(ranked, [key], [value], {"_size": F.col("_n")}, slices=slices)
         .groupBy(key)
         .agg(
             F.min(F.when(F.col("_upto") >= lower, F.col(value))).alias("_low"),

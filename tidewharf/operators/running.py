@@ -14,7 +14,6 @@ def running_sum(
     value: str,
     *,
     slice_by: Column,
-    hot: DataFrame | None = None,
     with_peers: bool = False,
     name: str = "running",
 ) -> DataFrame:
@@ -22,34 +21,21 @@ def running_sum(
 
     A plain window sends all rows of a key to one task. Here they are cut into
     slices that follow the order: ``slice_by`` must never fall as ``order`` rises,
-    e.g. the day of a time. Each slice starts from what the earlier slices of its
+    e.g. the hour of a time, or a struct of the day and a range of the next column. Each slice starts from what the earlier slices of its
     key add up to, which is one extra row at its front. So the rows are shuffled
     once, as in the plain window, and the slice totals beside them are one row per
     key and slice.
 
-    ``hot`` lists the keys worth slicing (see ``hot_keys``); the others stay whole.
-    Without it every key is sliced. ``with_peers`` includes all rows equal in
-    ``order`` to the current one.
+    Every key is sliced, whatever its size. ``with_peers`` includes all rows equal in
+    ``order`` to the current one; they must be in the same slice.
     """
     keys = list(keys)
-    if hot is None:
-        sliced = df.withColumn("_slice", slice_by)
-        cut = sliced
-    else:
-        listed = hot.select(
-            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")
-        )
-        same_key = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-        sliced = df.join(F.broadcast(listed), same_key, "left").select(
-            *df.columns, F.when(F.col("_hot"), F.struct(slice_by.alias("at"))).alias("_slice")
-        )
-        cut = sliced.where(F.col("_slice").isNotNull())
-
+    sliced = df.withColumn("_slice", slice_by)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = (
-        cut.groupBy(*keys, "_slice")
+        sliced.groupBy(*keys, "_slice")
         .agg(F.sum(value).alias(value))
         .withColumns({value: F.sum(value).over(earlier), "_start": F.lit(True)})
         .where(F.col(value).isNotNull())

@@ -47,33 +47,6 @@ def session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterat
                 spark.conf.set(key, value)
 
 
-_SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
-_INPUT_PER_PARTITION = 1 << 30
-_sized: dict[tuple[str, str], int] = {}
-
-
-def size_shuffles(spark: SparkSession, path: str) -> None:
-    """Raise the number of shuffle partitions to one per GiB of files under ``path``.
-
-    ``path`` is a directory, or ``database:<name>`` for the database's directory.
-
-    Queries shuffle a few columns of their tables, so that is a few hundred MiB per
-    task at most. Adaptive execution merges partitions that turn out small but
-    cannot add any, and Spark's default of 200 would be far too few for a large
-    input. A higher setting of the session is left alone.
-    """
-    known = (spark.sparkContext.applicationId, path)
-    if known not in _sized:
-        if path.startswith("database:"):
-            path = spark.catalog.getDatabase(path.removeprefix("database:")).locationUri
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        _sized[known] = files.getContentSummary(folder).getLength()
-    wanted = -(-_sized[known] // _INPUT_PER_PARTITION)
-    if wanted > int(spark.conf.get(_SHUFFLE_PARTITIONS)):
-        spark.conf.set(_SHUFFLE_PARTITIONS, str(wanted))
-
-
 _local_scratch: dict[str, str] = {}
 _databases: dict[str, list[str]] = {}
 

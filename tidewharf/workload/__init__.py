@@ -12,26 +12,10 @@ Three habits keep them cheap on large and uneven data:
   small, and splits skewed partitions of the sort-merge joins that remain.
 """
 
-from collections.abc import Callable
-from functools import wraps
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..session import size_shuffles
 from . import groups, joins, pivots, windows
 
-
-def _sized(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        size_shuffles(spark, sf_dir)
-        return query(spark, sf_dir)
-
-    return run
-
-
 WORKLOAD = {
-    name: _sized(query)
+    name: query
     for part in (joins, groups, windows, pivots)
     for name, query in part.QUERIES.items()
 }

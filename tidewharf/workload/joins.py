@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exact import (
-    CENTS, REVENUE, amount, cents, merge, partial, revenue_units, total,
+    CENTS, REVENUE, amount, cents, high, low, merge, partial, regroup, revenue_units, total,
 )
-from ..operators import hot_keys, running_sum, uneven_join
+from ..operators import running_sum, with_totals
 from ..sources import load
 from .common import bigint, count_rows, customer_years, in_year, in_years
 
@@ -15,17 +15,14 @@ from .common import bigint, count_rows, customer_years, in_year, in_years
 def star_brand_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best PROMO brands of 1998 by revenue."""
     orders = load(spark, sf_dir, "orders").where(in_year("o_orderdate", 1998))
-    by_part = (
+    promo = load(spark, sf_dir, "part").where("p_type = 'PROMO'")
+    # Only lines of PROMO parts, a sixth or so, are shuffled to their orders.
+    return (
         load(spark, sf_dir, "lineitem")
+        .join(promo, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_partkey")
-        .agg(*partial(revenue_units(), "revenue"))
-    )
-    part = load(spark, sf_dir, "part").where("p_type = 'PROMO'")
-    return (
-        by_part.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(bigint(F.lit(1998)).alias("order_year"), "p_brand")
-        .agg(merge("revenue", REVENUE).alias("revenue"))
+        .agg(total(revenue_units(), REVENUE).alias("revenue"))
         .orderBy(F.desc("revenue"), "p_brand")
         .limit(10)
     )
@@ -68,33 +65,30 @@ def _spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def above_group_average(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
+def above_group_average(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
     """Customers spending over 1.2 times their nation's average."""
     customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     spend = _spend(spark, sf_dir).join(
         customer, F.col("o_custkey") == F.col("c_custkey")
     ).select("c_custkey", "c_nationkey", "spend_hi", "spend_lo")
-    average = spend.groupBy(F.col("c_nationkey").alias("nation")).agg(
-        (merge("spend", CENTS) / F.count(F.lit(1))).alias("nation_average")
-    )
-    hot = hot_keys(customer, ["c_nationkey"], **skew)
+    nation = {
+        "nation_hi": F.col("spend_hi"), "nation_lo": F.col("spend_lo"), "n": F.lit(1)
+    }
     return (
-        uneven_join(spend, average, "c_nationkey", "nation", hot)
-        .select("c_custkey", "c_nationkey", amount("spend", CENTS).alias("total"), "nation_average")
-        .where(F.col("total") > 1.2 * F.col("nation_average"))
-        .drop("nation_average")
+        with_totals(spend, ["c_nationkey"], ["c_custkey"], nation, **slicing)
+        .withColumn("total", amount("spend", CENTS))
+        .where(F.col("total") > 1.2 * (amount("nation", CENTS) / F.col("n")))
+        .select("c_custkey", "c_nationkey", "total")
     )
 
 
-def subquery_having(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
+def subquery_having(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
     """Lines of parts priced over 1.03 times their type's average, by nation."""
     part = load(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
-    average = part.groupBy(F.col("p_type").alias("type")).agg(
-        (total(cents("p_retailprice"), CENTS) / F.count(F.lit(1))).alias("type_average")
-    )
-    hot = hot_keys(part, ["p_type"], **skew)
-    dear = uneven_join(part, average, "p_type", "type", hot).where(
-        F.col("p_retailprice") > 1.03 * F.col("type_average")
+    price = cents("p_retailprice")
+    of_type = {"type_hi": high(price), "type_lo": low(price), "n": F.lit(1)}
+    dear = with_totals(part, ["p_type"], ["p_partkey"], of_type, **slicing).where(
+        F.col("p_retailprice") > 1.03 * (amount("type", CENTS) / F.col("n"))
     )
     by_order = (
         load(spark, sf_dir, "lineitem")
@@ -145,14 +139,15 @@ def exists_or_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exists_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """'F' lines of orders that have a second supplier and no returned line."""
-    f_line = F.col("l_linestatus") == "F"
+    f_line = (F.col("l_linestatus") == "F") & F.col("l_suppkey").isNotNull()
     return (
         load(spark, sf_dir, "lineitem")
+        .where("l_orderkey is not null")
         .groupBy("l_orderkey")
         .agg(
             F.min("l_suppkey").alias("first_supplier"),
             F.max("l_suppkey").alias("last_supplier"),
-            F.bool_or(F.col("l_returnflag") == "R").alias("returned"),
+            F.coalesce(F.bool_or(F.col("l_returnflag") == "R"), F.lit(False)).alias("returned"),
             F.count_if(f_line).alias("f_lines"),
             *partial(F.when(f_line, revenue_units()), "revenue"),
         )
@@ -189,14 +184,19 @@ def left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_outer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with an 'F' order in 1996 only, in 1997 only, in both.
 
-    A full outer join of the two yearly sets, done as one pass over the orders.
+    A full outer join of the two yearly sets, done as one pass over the orders. An unknown
+    customer of either year matches nobody and has no key on either side, so it counts
+    under both "only" columns.
     """
     active = customer_years(spark, sf_dir, (1996, 1997), F.col("o_orderstatus") == "F")
+    unknown = "o_custkey is null and"
     return active.agg(
-        F.count_if(F.expr("in_1996 and not in_1997")).alias("only_1996"),
-        F.count_if(F.expr("not in_1996 and in_1997")).alias("only_1997"),
-        F.count_if(F.expr("in_1996 and in_1997")).alias("both_years"),
-    )
+        F.count_if(F.expr("o_custkey is not null and in_1996 and not in_1997")).alias("a"),
+        F.count_if(F.expr("o_custkey is not null and not in_1996 and in_1997")).alias("b"),
+        F.count_if(F.expr("o_custkey is not null and in_1996 and in_1997")).alias("both_years"),
+        (F.count_if(F.expr(f"{unknown} in_1996")) + F.count_if(F.expr(f"{unknown} in_1997"))).alias(
+            "unmatched"),
+    ).selectExpr("a + unmatched AS only_1996", "b + unmatched AS only_1997", "both_years")
 
 
 def cross_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,23 +217,27 @@ def cross_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def range_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a customer's orders at most 30 days apart, counted per customer.
 
     An order's partners are those dated up to 30 days later less those dated up
-    to the same day. Both are running counts, so the pairs are never formed.
+    to the same time. Both are running counts, so the pairs are never formed. Orders of
+    one customer at one time are counted first, so a slice holds distinct times of an hour.
     """
-    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    orders = (
+        load(spark, sf_dir, "orders")
+        .where("o_custkey is not null and o_orderdate is not null")
+        .groupBy("o_custkey", "o_orderdate").agg(count_rows("n"))
+    )
     points = orders.selectExpr(
-        "o_custkey",
-        "stack(2, o_orderdate, 0, 1, o_orderdate + interval 30 days, 1, 0) AS (at, turn, seen)",
+        "o_custkey", "n",
+        "stack(2, o_orderdate, 0, n, o_orderdate + interval 30 days, 1, 0L) AS (at, turn, seen)",
     )
     counted = running_sum(
         points, ["o_custkey"], ["at", "turn"], "seen", with_peers=True,
-        slice_by=F.col("at").cast("date"), hot=hot_keys(orders, ["o_custkey"], **skew),
-        name="up_to",
+        slice_by=F.date_trunc("hour", "at"), name="up_to",
     )
-    later = F.when(F.col("turn") == 1, F.col("up_to")).otherwise(-F.col("up_to"))
+    later = F.col("n") * F.when(F.col("turn") == 1, F.col("up_to")).otherwise(-F.col("up_to"))
     return counted.groupBy("o_custkey").agg(F.sum(later).alias("n_pairs")).where("n_pairs > 0")
 
 
@@ -243,16 +247,16 @@ def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two sizes differ first at one bit, where the larger has 1 and the smaller 0.
     So every part is filed under the bits where its size has 1, looked up under
     those where it has 0, and the price condition becomes a running count in each
-    such group. The cost is rows times bits of the size, not rows squared.
+    such group. The cost is rows times the 32 bits of a size, not rows squared; sizes
+    are shifted by 2**31 first, so that none is negative.
     """
-    part = load(spark, sf_dir, "part").where("p_size >= 0 and p_retailprice is not null")
-    largest = part.agg(F.max("p_size")).first()[0] or 0
-    bits = F.sequence(F.lit(0), F.lit(max(largest.bit_length() - 1, 0)))
+    part = load(spark, sf_dir, "part").where("p_size is not null and p_retailprice is not null")
     cells = (
         part.groupBy("p_brand", "p_size", "p_retailprice")
         .agg(count_rows("n"))
-        .withColumn("bit", F.explode(bits))
-        .selectExpr("p_brand", "p_retailprice", "n", "bit", "shiftright(p_size, bit) AS prefix")
+        .withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        .selectExpr("p_brand", "p_retailprice", "n", "bit",
+                    "shiftright(p_size + 2147483648L, bit) AS prefix")
     )
     # turn 0 looks up and comes first, so that it sees only strictly lower prices
     turns = cells.selectExpr(
@@ -282,13 +286,19 @@ def long_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", "c_nationkey")
     )
-    flows = (
+    # Summed to supplier, nation and year before the second shuffle.
+    by_supplier = (
         load(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(load(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("c_nationkey", "s_nationkey", bigint(F.year("l_shipdate")).alias("ship_year"))
+        .groupBy("l_suppkey", "c_nationkey", bigint(F.year("l_shipdate")).alias("ship_year"))
         .agg(*partial(revenue_units(), "revenue"))
     )
+    flows = (
+        by_supplier
+        .join(load(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("c_nationkey", "s_nationkey", "ship_year")
+        .agg(*regroup("revenue"))
+    )
     buyer = nation.select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_nation"),
         "r_name",
@@ -310,7 +320,7 @@ def year_over_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = cents("o_totalprice")
     return (
         load(spark, sf_dir, "orders")
-        .where(in_years("o_orderdate", 1996, 1997))
+        .where(in_years("o_orderdate", 1996, 1997) & F.col("o_custkey").isNotNull())
         .groupBy("o_custkey")
         .agg(
             total(F.when(in_year("o_orderdate", 1996), spent), CENTS).alias("total_1996"),
@@ -342,7 +352,10 @@ def or_predicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
             "(few and p_type = 'PROMO') or (some and p_type = 'LARGE' and p_size <= 10)"
             " or (reduced and p_brand = 'Brand#12')"
         )
-        .agg(F.sum("n").alias("n_lines"), merge("revenue", REVENUE).alias("revenue"))
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"),
+            merge("revenue", REVENUE).alias("revenue"),
+        )
     )
 
 
@@ -354,59 +367,72 @@ def excess_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rates = (
         load(spark, sf_dir, "lineitem")
-        .groupBy("l_partkey", cents("l_discount").alias("rate"))
+        .where("l_partkey is not null")
+        .groupBy("l_partkey", "l_discount")
         .agg(count_rows("n"), *partial(cents("l_extendedprice"), "price"))
     )
     of_part = Window.partitionBy("l_partkey")
-    total_rate = F.sum(F.col("rate") * F.col("n")).over(of_part)
+    total_rate = F.sum(cents("l_discount") * F.col("n")).over(of_part)
     return (
         rates.withColumn("average", total_rate / F.lit(CENTS) / F.sum("n").over(of_part))
-        .where(F.col("rate") / F.lit(CENTS) > 1.3 * F.col("average"))
-        .agg(F.sum("n").alias("n_lines"), merge("price", CENTS).alias("price"))
+        .where(F.col("l_discount") > 1.3 * F.col("average"))
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"),
+            merge("price", CENTS).alias("price"),
+        )
     )
 
 
-def low_revenue_join(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
+def low_revenue_join(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
     """Supplier-part pairs whose sales are at most a tenth of the supplier's mean."""
     lines = load(spark, sf_dir, "lineitem")
     sales = lines.groupBy("l_suppkey", "l_partkey").agg(
         *partial(cents("l_extendedprice"), "revenue")
     )
-    mean = sales.groupBy(F.col("l_suppkey").alias("supplier")).agg(
-        (merge("revenue", CENTS) / F.count(F.lit(1))).alias("mean_revenue")
-    )
-    hot = hot_keys(lines, ["l_suppkey"], **skew)
+    of_supplier = {
+        "all_hi": F.col("revenue_hi"), "all_lo": F.col("revenue_lo"), "n": F.lit(1)
+    }
     return (
-        uneven_join(sales, mean, "l_suppkey", "supplier", hot)
-        .select("l_suppkey", "l_partkey", amount("revenue", CENTS).alias("revenue"), "mean_revenue")
-        .where(F.col("revenue") <= 0.1 * F.col("mean_revenue"))
-        .drop("mean_revenue")
+        with_totals(sales, ["l_suppkey"], ["l_partkey"], of_supplier, **slicing)
+        .withColumn("revenue", amount("revenue", CENTS))
+        .where(F.col("revenue") <= 0.1 * (amount("all", CENTS) / F.col("n")))
+        .select("l_suppkey", "l_partkey", "revenue")
     )
 
 
-def frequent_items_max(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
-    """Revenue of often-sold parts bought by customers near the top spender."""
-    lines = load(spark, sf_dir, "lineitem")
-    frequent = (
-        lines.groupBy(F.col("l_partkey").alias("partkey"))
-        .agg(count_rows("n_sold"))
-        .where("n_sold > 40")
-    )
-    spend = _spend(spark, sf_dir).select(
-        F.col("o_custkey").alias("customer"), amount("spend", CENTS).alias("spent")
-    )
-    best = spend.where(F.col("spent") > 0.7 * spend.agg(F.max("spent")).scalar())
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    best_orders = uneven_join(
-        orders, best, "o_custkey", "customer", hot_keys(orders, ["o_custkey"], **skew), "left_semi"
-    )
-    by_part = (
-        lines.join(best_orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+def frequent_items_max(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
+    """Revenue of often-sold parts bought by customers near the top spender.
+
+    One pass over the lines: per part all lines are counted, and those of the best
+    customers' orders are summed.
+    """
+    price = cents("o_totalprice")
+    spent = {"spend_hi": high(price), "spend_lo": low(price)}
+    # Orders of unknown customers are one group that may be the top, but nobody's.
+    known = F.col("o_custkey").isNotNull()
+    orders = with_totals(
+        load(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_totalprice", known.alias("known"),
+            F.coalesce("o_custkey", F.lit(0)).alias("customer")),
+        ["known", "customer"], ["o_orderkey"], spent, **slicing,
+    ).select("o_orderkey", "known", amount("spend", CENTS).alias("spent"))
+    best = F.col("spent") > 0.7 * orders.agg(F.max("spent")).scalar()
+    best_orders = orders.where(F.col("known") & best).select("o_orderkey").distinct()
+    ours = F.col("o_orderkey").isNotNull()
+    return (
+        load(spark, sf_dir, "lineitem")
+        .join(best_orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .where("l_partkey is not null")
         .groupBy("l_partkey")
-        .agg(count_rows("n"), *partial(revenue_units(), "revenue"))
-    )
-    return by_part.join(frequent, F.col("l_partkey") == F.col("partkey")).agg(
-        F.sum("n").alias("n_lines"), merge("revenue", REVENUE).alias("revenue")
+        .agg(
+            count_rows("n_sold"), F.count_if(ours).alias("n"),
+            *partial(F.when(ours, revenue_units()), "revenue"),
+        )
+        .where("n_sold > 40")
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"),
+            merge("revenue", REVENUE).alias("revenue"),
+        )
     )
 
 

@@ -6,12 +6,12 @@ is bounded by names and dates, not by the fact table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exact import (
     CENTS, REVENUE, amount, cents, merge, partial, regroup, revenue_units,
 )
-from ..operators import hot_keys, running_sum
+from ..operators import running_sum
 from ..sources import load
 from .common import bigint
 
@@ -80,15 +80,33 @@ def lag_lead_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def running_total(spark: SparkSession, sf_dir: str, **skew) -> DataFrame:
+# Order keys in one slice of the orders of one time.
+KEYS_PER_SLICE = 1 << 22
+
+
+def _hour_and_key(time: str, key: str, keys_per_slice: int) -> Column:
+    """Slices in order of time, then key: an hour, and what is on the hour by ranges of keys.
+
+    Orders dated by the day are all on the hour, however many a day has.
+    """
+    hour = F.date_trunc("hour", time)
+    on_the_hour = F.col(time) == hour
+    return F.struct(
+        hour.alias("hour"), (~on_the_hour).alias("later"),
+        F.when(on_the_hour, F.floor(F.col(key) / keys_per_slice)).alias("keys"),
+    )
+
+
+def running_total(
+    spark: SparkSession, sf_dir: str, *, keys_per_slice: int = KEYS_PER_SLICE
+) -> DataFrame:
     """Each customer's spend up to and including every order."""
     orders = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_orderdate", cents("o_totalprice").alias("cents")
     )
     return running_sum(
         orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents",
-        slice_by=F.col("o_orderdate").cast("date"), hot=hot_keys(orders, ["o_custkey"], **skew),
-        name="spent",
+        slice_by=_hour_and_key("o_orderdate", "o_orderkey", keys_per_slice), name="spent",
     ).select(
         "o_custkey", "o_orderkey", (F.col("spent").cast("double") / F.lit(CENTS)).alias("spent")
     )
