@@ -84,7 +84,7 @@ _GLYPHS |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width for
 _GLYPHS |= {chr(0x1D7CE + i): chr(48 + i % 10) for i in range(50)}  # mathematical digits
 _GLYPHS |= {chr(0x0660 + i): chr(48 + i) for i in range(10)}  # Arabic-Indic digits
 _GLYPHS |= dict.fromkeys("­​‌‍⁠﻿", "")  # invisible
-_GLYPHS |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", " ": " "}
+_GLYPHS |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "\u00a0": " ", "\u202f": " "}
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 
 # Digits in English, German, French and Spanish, without articles.
@@ -117,9 +117,8 @@ _WORDY_ADDRESS = re.compile(
     r"[A-Za-z0-9_%+-] {1,3}(?:at|arroba) {1,3}[A-Za-z0-9-]+ {1,3}(?:dot|punkt|punto|point) "
     r"|@[A-Za-z0-9-]+ {1,3}(?:dot|punkt|punto|point) "
     r"|[0-9] {1,3}(?:dot|punkt|punto|point) {1,3}[0-9]", re.I)
-_DOT_WORDS = ("dot", "punkt", "punto", "point")
-_AT_WORDS = ("at]", "at)", "at}", "at>", "at ]", "at )", "arroba", "[@", "(@", "{@", "<@",
-             "ät]", "ät)")
+_DOT_WORDS = frozenset(("dot", "punkt", "punto", "point"))
+_ANY_BRACKETED = re.compile(rf"[\[({{<] {{0,3}}(?:{_AT}|{_DOT}) {{0,3}}[\])}}>]", re.I)
 
 
 @dataclass
@@ -173,19 +172,28 @@ def _spelled(run: Rewritten) -> Rewritten:
     return run.replace(_SPELLED_PART, digit)
 
 
+def _may_be_spelled(words: list[str]) -> bool:
+    """Whether there are three numbers in words, two of them at most one word apart."""
+    at = [i for i, word in enumerate(words) if word in _NUMBERS]
+    return len(at) > 2 and any(b - a <= 2 for a, b in zip(at, at[1:]))
+
+
 def rewritten(text: str) -> Rewritten | None:
     """The text after all transducers; None if none of them has anything to change."""
-    lower = text.lower()
-    glyphs = _GLYPH.search(text)
-    numbers = not _NUMBERS.keys().isdisjoint(lower.split())
-    dots = any(w in lower for w in _DOT_WORDS) or "[.]" in text or "(.)" in text
-    ats = any(w in lower for w in _AT_WORDS)
-    if not (glyphs or numbers or dots or ats):
+    glyphs = None if text.isascii() else _GLYPH.search(text)
+    words = text.lower() if glyphs is None else _GLYPH.sub(lambda m: _GLYPHS[m[0]], text).lower()
+    for mark in "-.()":
+        words = words.replace(mark, " ")
+    words = words.split()
+    numbers = not _NUMBERS.keys().isdisjoint(words) and _may_be_spelled(words)
+    dots = not _DOT_WORDS.isdisjoint(words)
+    if not (glyphs or numbers or dots or _ANY_BRACKETED.search(text)):
         return None
     out = Rewritten.of(text)
     if glyphs:
         out = out.replace(_GLYPH, lambda m: _GLYPHS[m[0]])
-    out = _spelled(out)
+    if numbers:
+        out = _spelled(out)
     out = out.replace(_BRACKETED, lambda m: "." if m[1] else "@")
     if _WORDY_ADDRESS.search(out.text):
         out = out.replace(_WORDY, lambda m: "." if m[1] else "@")
