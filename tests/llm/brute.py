@@ -107,3 +107,24 @@ def identifiers(text: str | None):
                     continue
             out.append((m.start(), number, m.end()))
     return sorted(out)
+
+
+def boilerplate(documents, min_sites, min_contexts):
+    """Bare lines (text, source rows) that are on enough sites and in enough contexts."""
+    sites, contexts, held = defaultdict(set), defaultdict(set), defaultdict(int)
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    for text, source in documents:
+        lines = {line.strip(" \t\r") for line in (text or "").split("\n")} - {""}
+        for line in lines:
+            others = sorted(md5(x) for x in lines if x != line)
+            sites[line].add(source)
+            contexts[line].add((others[0], others[-1]) if others else "")
+            held[line] += 1
+    return {line for line in held if len(sites[line]) >= min_sites
+            and len(contexts[line]) >= min_contexts and 2 * len(contexts[line]) >= held[line]}
+
+
+def without_lines(text, lines):
+    if text is None:
+        return None
+    return "\n".join(x for x in text.split("\n") if x.strip(" \t\r") not in lines)

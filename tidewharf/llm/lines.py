@@ -2,8 +2,9 @@
 
 A line is boilerplate if it stands on at least ``min_sites`` sites, in at least
 ``min_contexts`` different contexts, and in at least half as many contexts as documents. The
-context of a line is the least other line of its document (by MD5): copies of one document
-are one context, so copying a document does not make its lines boilerplate.
+context of a line is the least and the greatest other line of its document (by MD5): copies
+of one document are one context and edited copies mostly are, so copying a document does not
+make its lines boilerplate, while lines that often stand together keep their contexts.
 
 Sites and contexts are counted by HyperLogLog sketches per line, which aggregation merges.
 Lines whose estimates are within a quarter of a threshold get exact distinct counts. With
@@ -45,14 +46,22 @@ def _keys(text: Column) -> Column:
 def occurrences(documents: DataFrame, text_col: str, site_col: str) -> DataFrame:
     """``line`` (MD5), ``site``, ``context``: one row for each distinct line of each document."""
     held = documents.select(
-        F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
+        # Sketches do not count empty strings.
+        F.concat(F.lit("="), F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"),
         F.array_sort(F.array_distinct(F.array_compact(_keys(F.col(text_col))))).alias("keys"))
-    least, second = F.get("keys", F.lit(0)), F.get("keys", F.lit(1))
+
+    def at(end: int) -> Column:
+        return F.get("keys", F.lit(end) if end >= 0 else F.size("keys") + end)
+
+    def other(end: str, beside: str) -> Column:
+        found = F.when(F.col("line") == F.col(end), F.col(beside)).otherwise(F.col(end))
+        return F.coalesce(found, F.lit(""))
+
     return held.select(
-        "site", least.alias("least"), second.alias("second"), F.explode("keys").alias("line")
-    ).select("line", "site", F.coalesce(F.when(
-        F.col("line") == F.col("least"), F.col("second")).otherwise(F.col("least")), F.lit("")
-    ).alias("context"))
+        "site", at(0).alias("first"), at(1).alias("second"), at(-1).alias("last"),
+        at(-2).alias("last_but_one"), F.explode("keys").alias("line"),
+    ).select("line", "site", F.concat(
+        F.lit("="), other("first", "second"), other("last", "last_but_one")).alias("context"))
 
 
 def boilerplate(documents: DataFrame, *, text_col: str = "text", site_col: str = "source",
@@ -127,7 +136,8 @@ held as (select distinct doc_id, text, source, md5(bare) as h from keyed where b
 two as (select doc_id, text, list_sort(list(h)) as hs from held group by doc_id, text),
 spread as (
   select h, count(*) as n, count(distinct coalesce(source, '')) as sites,
-         count(distinct coalesce(case when h = hs[1] then hs[2] else hs[1] end, '')) as contexts
+         count(distinct coalesce(case when h = hs[1] then hs[2] else hs[1] end, '')
+                        || coalesce(case when h = hs[-1] then hs[-2] else hs[-1] end, '')) as contexts
   from held join two using (doc_id, text) group by h),
 bad as (select h from spread where sites >= {MIN_SITES} and contexts >= {MIN_CONTEXTS}
         and 2 * contexts >= n),
