@@ -43,6 +43,15 @@ def test_runs_are_recorded(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/r").groupBy("run_id").count().count() == 2
 
 
+def test_errors_are_kept_whole(spark):
+    def fails(error):
+        raise error
+
+    queries = {"empty": lambda: fails(ValueError()), "long": lambda: fails(ValueError("a\nb"))}
+    results = run_benchmark(spark, queries, iterations=1)
+    assert {r.query: r.error for r in results.collect()} == {"empty": "ValueError()", "long": "a\nb"}
+
+
 def test_names(spark):
     with pytest.raises(KeyError, match="missing"):
         run_benchmark(spark, {"a": lambda: spark.range(1)}, names=["missing"])
@@ -51,8 +60,10 @@ def test_names(spark):
 def test_summary(spark):
     data = [("a", i, 1, ms, "ok", None) for i, ms in enumerate((5, 1, 2000))]
     data += [("a", 9, None, 7, "failed", "x"), ("b", 1, 1, 10, "ok", None), ("b", 2, 1, 21, "ok", None)]
+    data += [("c", 1, None, 3, "failed", "y"), ("c", 2, None, 4, "failed", "z")]
     results = spark.createDataFrame(
         data, "query string, iteration int, row_count bigint, elapsed_ms bigint, status string, error string"
     )
     got = {r.query: tuple(r)[1:] for r in summarize(results).collect()}
-    assert got == {"a": (3, 1, 2006 / 3, 2000, 5.0), "b": (2, 10, 15.5, 21, 15.5)}
+    assert got == {"a": (3, 1, 1, 2006 / 3, 2000, 5.0), "b": (2, 0, 10, 15.5, 21, 15.5),
+                   "c": (0, 2, None, None, None, None)}

@@ -37,7 +37,7 @@ def test_generate_then_benchmark(spark, db, tmp_path, capsys):
     main(["benchmark", "-d", db, "-i", "2", "-q", "cube_counts,star_brand_year",
           "-r", f"{tmp_path}/results"], spark)
     header, *lines = capsys.readouterr().out.splitlines()
-    assert header.split("\t") == ["query", "runs", "min_ms", "avg_ms", "max_ms", "p50_ms"]
+    assert header.split("\t") == ["query", "runs", "failed_runs", "min_ms", "avg_ms", "max_ms", "p50_ms"]
     assert [line.split("\t")[:2] for line in lines] == [["cube_counts", "2"], ["star_brand_year", "2"]]
     kept = spark.read.json(f"{tmp_path}/results")
     assert {(r.query, r.row_count) for r in kept.collect()} == {

@@ -130,3 +130,23 @@ def test_staged_write_may_read_what_it_replaces(spark, tmp_path):
         mode="overwrite",
     )
     assert spark.read.parquet(path).count() == 2
+
+
+def test_run_stamps_must_sort(spark, tmp_path):
+    for pattern in ("%d%m%Y", "%H%M%S", "%m-%Y", "%Y%m%d%I%M"):
+        with pytest.raises(ValueError, match="sort"):
+            file_sink(spark.range(1), f"{tmp_path}/x", "parquet", run_stamp=pattern)
+    for pattern in ("%Y%m%d%H%M%S", "%Y-%m-%d", "%Y/%j"):
+        file_sink(spark.range(1), f"{tmp_path}/{hash(pattern)}", "parquet", run_stamp=pattern)
+
+
+def test_a_failed_publish_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    from tidewharf.sinks import files
+
+    def fails(*args):
+        raise OSError("no")
+
+    monkeypatch.setattr(files, "publish", fails)
+    with pytest.raises(OSError):
+        file_sink(spark.range(1), f"{tmp_path}/out", "parquet", transaction=True)
+    assert os.listdir(tmp_path) == []

@@ -57,3 +57,25 @@ def test_bad_jobs(spark, numbers, tmp_path):
     with pytest.raises(LookupError):
         Job(source={"n3": numbers}, sink=sink,
             transform={"t": SqlTransform("nowhere", "r", "SELECT 1")}).run(spark)
+
+
+def test_a_job_fills_a_database_and_labelled_tables(spark, numbers, db, rows):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    spec = {
+        "source": {"n5": {"kind": "parquet", "path": numbers.path, "schema": "id bigint"}},
+        "sink": {
+            "d": {"kind": "jdbc", "url": url, "table": "t", "options": {"label": "run-1"},
+                  "driver": "org.apache.derby.jdbc.EmbeddedDriver"},
+            "l": {"kind": "table", "table": f"{db}.loaded", "label": "run-1", "ledger": f"{db}.g"},
+        },
+    }
+    assert Job.from_spec(spec).run(spark) == {"d": True, "l": True}
+    assert Job.from_spec(spec).run(spark) == {"d": False, "l": False}
+    assert spark.table(f"{db}.loaded").count() == 10
+    source = JdbcSource(url, "SELECT * FROM t", "org.apache.derby.jdbc.EmbeddedDriver")
+    spark.sql(f"CREATE TABLE {db}.c (id BIGINT) USING parquet")
+    Job(source={"n6": source}, sink={"c": TableSink(f"{db}.c")}).run(spark)
+    changes = SqlTransform("n7", "ch", "SELECT id, 1 AS seq, if(id < 4, 'D', 'U') AS op FROM n7")
+    Job(source={"n7": numbers}, transform={"t": changes}, sink={"c": TableSink(
+        f"{db}.c", changes={"keys": ["id"], "seq": "seq", "op": "op"})}).run(spark)
+    assert rows(spark.table(f"{db}.c")) == [(i,) for i in range(4, 10)]

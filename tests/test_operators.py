@@ -65,3 +65,14 @@ def test_tagging_takes_the_first_rule_of_the_whole_text(spark, rows):
 def test_tagging_needs_distinct_priorities(spark):
     with pytest.raises(ValueError, match="priorities"):
         tag_rows(spark.range(1), "id", [Rule(1, "a", "x"), Rule(1, "b", "y")], "d")
+
+
+def test_rules_of_a_table(spark, rows):
+    texts = spark.createDataFrame([(1, "ab"), (2, "b"), (3, None)], "id int, t string")
+    table = spark.createDataFrame([(2, "b", "B"), (1, "a", "A")],
+                                  "priority int, pattern string, tag string")
+    assert rows(tag_rows(texts, "t", table, "none").select("id", "tag")) == [
+        (1, "A"), (2, "B"), (3, "none")]
+    for bad in ([(1, None, "x")], [(i, "p", "x") for i in range(1001)], [(1, "a", "x"), (1, "b", "y")]):
+        with pytest.raises(ValueError):
+            tag_rows(texts, "t", spark.createDataFrame(bad, table.schema), "none")

@@ -82,3 +82,14 @@ def test_permissions(spark, tmp_path):
 def test_one_statement_at_a_time(spark):
     with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
         run_statement(spark, "select 1; select 2")
+
+
+def test_uploads_fail_loudly(spark, space, rows, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,name\n1,a\nx,b\n")
+    (tmp_path / "swapped.csv").write_text("name,id\na,1\n")
+    for name in ("bad", "swapped"):
+        with pytest.raises(Exception):
+            space.upload(f"{tmp_path}/{name}.csv", name, schema="id int, name string")
+            spark.table(f"{space.database}.{name}").collect()
+    space.upload(f"{tmp_path}/bad.csv", "lenient", schema="id int, name string", mode="DROPMALFORMED")
+    assert rows(spark.table(f"{space.database}.lenient")) == [(1, "a")]

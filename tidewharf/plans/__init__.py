@@ -1,8 +1,11 @@
-from .job import FileSink, Job, JdbcSource, ParquetSource, SqlTransform, TableSink, sql_transform
+from .job import (
+    FileSink, JdbcSink, JdbcSource, Job, ParquetSource, SqlTransform, TableSink, sql_transform,
+)
 from .statements import Workspace, run_statement
 
 __all__ = [
     "FileSink",
+    "JdbcSink",
     "JdbcSource",
     "Job",
     "ParquetSource",

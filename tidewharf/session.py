@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -49,6 +49,12 @@ def session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterat
 
 _local_scratch: dict[str, str] = {}
 _databases: dict[str, list[str]] = {}
+_cleanups: dict[str, list[Callable[[], None]]] = {}
+
+
+def at_clearing(spark: SparkSession, action: Callable[[], None]) -> None:
+    """Run ``action`` when this application's scratch data are cleared."""
+    _cleanups.setdefault(spark.sparkContext.applicationId, []).append(action)
 
 
 def _application_scratch(spark: SparkSession) -> str:
@@ -92,6 +98,8 @@ def clear_scratch(spark: SparkSession) -> None:
 
     Call it once no result that reads them is needed any more.
     """
+    for action in _cleanups.pop(spark.sparkContext.applicationId, []):
+        action()
     for name in _databases.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
     folder = spark._jvm.org.apache.hadoop.fs.Path(_application_scratch(spark))

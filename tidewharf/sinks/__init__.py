@@ -1,11 +1,12 @@
 from .files import file_sink, latest_run
-from .jdbc import jdbc_sink
+from .jdbc import Database, jdbc_sink
 from .ledger import load_once
 from .tables import (
     cast_unsupported_types, merge_changes, overwrite_table, replace_table, table_sink,
 )
 
 __all__ = [
+    "Database",
     "cast_unsupported_types",
     "file_sink",
     "jdbc_sink",

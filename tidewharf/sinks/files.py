@@ -62,6 +62,8 @@ def file_sink(
 
     spark = df.sparkSession
     if run_stamp is not None:
+        if not _sorts(run_stamp):
+            raise ValueError(f"run stamps {run_stamp!r} do not sort by time, year first is needed")
         stamp = (now or datetime.now(timezone.utc)).strftime(run_stamp)
         path = f"{path.rstrip('/')}/run={stamp}"
     if columns is not None:
@@ -101,14 +103,24 @@ def file_sink(
     target = f"{staging.rstrip('/')}/.staged-{uuid.uuid4().hex[:12]}"
     try:
         write(target, "errorifexists")
+        publish(spark, target, path)
     except Exception:
         fs, unfinished = filesystem(spark, target)
         fs.delete(unfinished, True)
         raise
-    publish(spark, target, path)
     return path
 
 
+def _sorts(pattern: str) -> bool:
+    """Whether texts of the pattern are in the order of their times."""
+    times = [
+        datetime(2019 + i // 24, i // 2 % 12 + 1, 9 + i % 2 * 11, i % 2 * 12 + 4, i % 2 * 30 + 7, i % 2)
+        for i in range(72)
+    ] + [datetime(2022, 1, 1, hour, minute) for hour in range(24) for minute in (5, 40)]
+    stamps = [time.strftime(pattern) for time in times]
+    return stamps == sorted(stamps)
+
+
 def latest_run(spark: SparkSession, path: str) -> str | None:
     """The newest finished ``run=`` directory under ``path``."""
     fs, base = filesystem(spark, path)

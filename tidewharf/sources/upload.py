@@ -13,13 +13,16 @@ def upload_table(
     schema: str | None = None,
     header: bool = True,
     delimiter: str = ",",
-    mode: str = "errorifexists",
+    save_mode: str = "errorifexists",
     **options: str,
 ) -> None:
     """Create ``table`` from the file(s) at ``path``.
 
-    Give ``schema`` for anything large: inferring it reads the file once more.
+    A malformed row or a header that is not the schema's columns in order is an error;
+    reader options, among them ``mode`` and ``enforceSchema``, say otherwise. Give
+    ``schema`` for anything large: inferring it reads the file once more.
     """
-    reader = spark.read.options(header=header, sep=delimiter, **options)
+    strict = {"mode": "FAILFAST", "enforceSchema": "false"}
+    reader = spark.read.options(header=header, sep=delimiter, **(strict | options))
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    reader.csv(path).write.mode(mode).saveAsTable(table)
+    reader.csv(path).write.mode(save_mode).saveAsTable(table)
