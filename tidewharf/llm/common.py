@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +33,28 @@ def saved(df: DataFrame, purpose: str, options: dict[str, str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def raw_bytes(column: pa.Array) -> list[bytes | None]:
-    """The texts of a string column in UTF-8, without decoding them."""
-    return column.cast(pa.binary()).to_pylist()
+def raw_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of a string column in UTF-8, one by one, without decoding them."""
+    for text in column.cast(pa.binary()):
+        yield text.as_py()
+
+
+def lean(function: Callable) -> Callable:
+    """The function of a task, giving its memory back at the end.
+
+    Spark keeps Python workers for later tasks; what they keep reserved adds up.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def one_list(values: np.ndarray | pa.Array) -> pa.ListArray:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewharf.llm.common import LARGE_ROWS, list_values, one_list, ranges, raw_bytes, saved
+from tidewharf.llm.common import LARGE_ROWS, lean, list_values, one_list, ranges, raw_bytes, saved
 
 WINDOW = 10
 #: Words to either side of the rarest word within which a proximity match must lie.
@@ -112,7 +112,7 @@ def build_index(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = source.schema["id"].dataType.simpleString()
     schema = (f"block bigint, doc_ids array<{kind}>, sizes array<int>, terms array<bigint>, "
               "counts array<int>, gaps array<int>")
-    return saved(source.mapInArrow(build, schema), "postings", LARGE_ROWS)
+    return saved(source.mapInArrow(lean(build), schema), "postings", LARGE_ROWS)
 
 
 def windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text",
@@ -132,7 +132,7 @@ def windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
                         "terms": pa.array(found, pa.list_(pa.int64())),
                     })
 
-    return source.mapInArrow(cut, "item string, terms array<bigint>").distinct()
+    return source.mapInArrow(lean(cut), "item string, terms array<bigint>").distinct()
 
 
 class _Plan:
@@ -255,7 +255,7 @@ def _search_chunk(index: DataFrame, rows: pa.Table, near: int, schema: str) -> D
 
     frequency = {
         r["term"]: r["n"]
-        for r in index.select("terms", "counts").mapInArrow(counted, "term bigint, n bigint")
+        for r in index.select("terms", "counts").mapInArrow(lean(counted), "term bigint, n bigint")
         .groupBy("term").agg(F.sum("n").alias("n")).collect()
     }
     plan = _Plan(rows, frequency)
@@ -285,7 +285,7 @@ def _search_chunk(index: DataFrame, rows: pa.Table, near: int, schema: str) -> D
 
     if not len(plan.item):
         return index.sparkSession.createDataFrame([], schema)
-    return index.select("block", "sizes", "terms", "counts", "gaps").mapInArrow(searched, schema)
+    return index.select("block", "sizes", "terms", "counts", "gaps").mapInArrow(lean(searched), schema)
 
 
 def contamination(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id",

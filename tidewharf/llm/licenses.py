@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewharf.llm.common import saved
+from tidewharf.llm.common import lean, saved
 
 MIN_COSINE = 0.75
 FILE_WORDS = 60
@@ -144,7 +144,7 @@ def _line_counts(source: DataFrame, known: frozenset) -> tuple[int, dict[str, in
             "n": pa.array(list(counts.values()), pa.int64())})
 
     # As many rows as template words, at most, come to the driver.
-    rows = source.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(
+    rows = source.mapInArrow(lean(counted), "word string, n bigint").groupBy("word").agg(
         F.sum("n").alias("n")).collect()
     held = {r["word"]: r["n"] for r in rows}
     return held.pop(None, 0), held
@@ -182,7 +182,7 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
                 names=[*names, "__own", "__cosine", "__file"])
 
     directory = F.regexp_extract(F.col(path_col), "^(.*)/[^/]*$", 1)
-    found = before.mapInArrow(matched, schema).withColumn("__dir", directory)
+    found = before.mapInArrow(lean(matched), schema).withColumn("__dir", directory)
     # The text is not needed to inherit: only short columns are stored and shuffled.
     licensed = saved(
         found.where("__file").select("__dir", "__own", "__cosine").groupBy("__dir").agg(

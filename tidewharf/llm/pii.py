@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewharf.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
@@ -248,4 +250,4 @@ def detect(documents: DataFrame, *, text_col: str = "text", spans_col: str = "sp
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(spans, kind_type)], names=[*names, spans_col])
 
-    return before.mapInArrow(found, schema)
+    return before.mapInArrow(lean(found), schema)

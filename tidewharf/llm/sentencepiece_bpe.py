@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewharf.llm.common import lists, ranges
+from tidewharf.llm.common import lean, lists, ranges
 
 SPACE = "▁"
 #: Words whose ids a task keeps; then it starts anew.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 17
 #: Characters of texts that are encoded together.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -247,7 +247,7 @@ def encode(documents: DataFrame, model: Model, *, text_col: str = "text",
                     [*batch.slice(first, len(texts)).columns, lists(ids, counts)],
                     names=[*names, ids_col])
 
-    return before.mapInArrow(encoded, schema)
+    return before.mapInArrow(lean(encoded), schema)
 
 
 def piece_bytes(model: Model) -> list[bytes]:
@@ -286,4 +286,4 @@ def decode(encoded: DataFrame, model: Model, *, ids_col: str = "ids",
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
-    return before.mapInArrow(decoded, schema)
+    return before.mapInArrow(lean(decoded), schema)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewharf.llm.common import lean
+
 #: Lengths in a range.
 RANGE = 1024
 
@@ -51,7 +53,7 @@ def with_lengths(documents: DataFrame, ranks: dict[bytes, int], pattern: str, *,
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lengths, pa.int64())], names=[*names, length_col])
 
-    return before.mapInArrow(counted, schema)
+    return before.mapInArrow(lean(counted), schema)
 
 
 def histogram(lengths: DataFrame, *, length_col: str = "n_tokens") -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewharf.llm.common import lean
+
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 5_000
 LEAST_EVIDENCE = 1.5
@@ -189,7 +191,7 @@ def learn(
     if not toxic or not other:
         return Lexicon(dict.fromkeys(SEED, SEED_WEIGHT), {}, -2.0, 0.5, 0.5)
     counts = (
-        rows.mapInArrow(_count_terms, "term string, toxic bigint, other bigint")
+        rows.mapInArrow(lean(_count_terms), "term string, toxic bigint, other bigint")
         .groupBy("term")
         .agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
         .where("a >= 3")
@@ -218,7 +220,7 @@ def learn(
                 "label": batch["label"],
             })
 
-    points = rows.mapInArrow(features, "x double, y double, label int").collect()
+    points = rows.mapInArrow(lean(features), "x double, y double, label int").collect()
     bias, per_sum, per_length = _logistic(
         np.array([(1.0, p["x"], p["y"]) for p in sorted(points)]),
         np.array([p["label"] for p in sorted(points)], float),
@@ -273,7 +275,7 @@ def score(
                 names=[*names, score_col, matches_col],
             )
 
-    return before.mapInArrow(scored, schema)
+    return before.mapInArrow(lean(scored), schema)
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
