@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewharf.llm.common import lean
+from tidewharf.llm.common import lean, saved
 
 #: Lengths in a range.
 RANGE = 1024
@@ -63,7 +63,8 @@ def histogram(lengths: DataFrame, *, length_col: str = "n_tokens") -> DataFrame:
     """
     counts = lengths.groupBy(F.col(length_col).cast("bigint").alias("length")).agg(
         F.count("*").alias("n_docs"))
-    counts = counts.where("length is not null").withColumn(
+    # Stored, as it is used twice and the documents are to be encoded once.
+    counts = saved(counts.where("length is not null"), "lengths").withColumn(
         "range", F.floor(F.col("length") / RANGE)).withColumn("n_tokens", F.expr("length * n_docs"))
     ranges = counts.groupBy("range").agg(
         F.sum("n_docs").alias("range_docs"), F.sum("n_tokens").alias("range_tokens"))
