@@ -247,16 +247,24 @@ def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two sizes differ first at one bit, where the larger has 1 and the smaller 0.
     So every part is filed under the bits where its size has 1, looked up under
     those where it has 0, and the price condition becomes a running count in each
-    such group. The cost is rows times the 32 bits of a size, not rows squared; sizes
-    are shifted by 2**31 first, so that none is negative.
+    such group. The cost is rows times the bits in which sizes differ (32 at most), not
+    rows squared; sizes are shifted by 2**31 first, so that none is negative.
     """
-    part = load(spark, sf_dir, "part").where("p_size is not null and p_retailprice is not null")
+    part = (
+        load(spark, sf_dir, "part")
+        .where("p_size is not null and p_retailprice is not null")
+        .withColumn("size", F.expr("p_size + 2147483648L"))
+    )
+    least, most = (part.agg(end("size")).scalar() for end in (F.min, F.max))
+    bits = F.sequence(F.lit(0), F.lit(31))
     cells = (
-        part.groupBy("p_brand", "p_size", "p_retailprice")
+        part.groupBy("p_brand", "size", "p_retailprice")
         .agg(count_rows("n"))
-        .withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        .selectExpr("p_brand", "p_retailprice", "n", "bit",
-                    "shiftright(p_size + 2147483648L, bit) AS prefix")
+        # Above the highest bit in which any two sizes differ all have one prefix.
+        .withColumn("differ", most.bitwiseXOR(least))
+        .withColumn("bit", F.explode(bits))
+        .where("shiftright(differ, bit) > 0")
+        .selectExpr("p_brand", "p_retailprice", "n", "bit", "shiftright(size, bit) AS prefix")
     )
     # turn 0 looks up and comes first, so that it sees only strictly lower prices
     turns = cells.selectExpr(
