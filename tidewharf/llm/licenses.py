@@ -101,7 +101,6 @@ class Matcher:
         for name, text in sorted(templates):
             vector = self.vector(words_of(text))
             self.templates.append((name, vector, math.sqrt(sum(x * x for x in vector.values()))))
-        # A section with only words that are frequent everywhere cannot be near a template.
         self.known = frozenset(self.weight)
 
     def vector(self, words: list[str]) -> dict[str, float]:
@@ -111,15 +110,18 @@ class Matcher:
         """The highest cosine of a section to a template, and the template's license."""
         best = (0.0, None)
         for words in sections(text):
-            shared = self.known.intersection(words)
+            distinct = set(words)
+            shared = distinct & self.known
             if not shared:
                 continue
+            # No template can be nearer than the part of the section in template words;
+            # the other part is at least as long as if each of its words stood there once.
+            inside = sum((words.count(w) * self.weight[w]) ** 2 for w in shared)
+            outside = (len(distinct) - len(shared)) * self.rare ** 2
+            if inside < MIN_COSINE ** 2 * (inside + outside):
+                continue
             own = self.vector(words)
             norm = math.sqrt(sum(x * x for x in own.values()))
-            inside = math.sqrt(sum(own[w] ** 2 for w in shared))
-            # No template can be nearer than the part of the section in template words.
-            if inside < MIN_COSINE * norm:
-                continue
             for name, vector, size in self.templates:
                 dot = math.fsum(own[w] * vector[w] for w in sorted(shared) if w in vector)
                 cosine = round(dot / (norm * size), 9)
@@ -152,7 +154,7 @@ def _line_counts(source: DataFrame, known: frozenset) -> tuple[int, dict[str, in
 
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
          templates=TEMPLATES) -> DataFrame:
-    """All columns of ``files`` with license, cosine, origin and licensed_by.
+    """All columns of ``files`` but the text, with license, cosine, origin and licensed_by.
 
     ``origin`` is "own" or "inherited", ``licensed_by`` the directory inherited from.
     Columns of these names are replaced.
@@ -163,7 +165,8 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
         w for _, text in templates for w in words_of(text))))
     names = before.columns
     at, path_at = names.index(text_col), names.index(path_col)
-    schema = T.StructType([*before.schema.fields, T.StructField("__own", T.StringType()),
+    kept = [name for name in names if name != text_col]
+    schema = T.StructType([*[before.schema[name] for name in kept], T.StructField("__own", T.StringType()),
                            T.StructField("__cosine", T.DoubleType()),
                            T.StructField("__file", T.BooleanType())])
 
@@ -176,22 +179,22 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text",
                 is_file.append(own[-1][1] is not None and path is not None and bool(
                     _FILE_NAME.search(path) or len(words_of(text)) <= FILE_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([n for _, n in own], pa.string()),
+                [*[batch[name] for name in kept], pa.array([n for _, n in own], pa.string()),
                  pa.array([c if n else None for c, n in own], pa.float64()),
                  pa.array(is_file, pa.bool_())],
-                names=[*names, "__own", "__cosine", "__file"])
+                names=[*kept, "__own", "__cosine", "__file"])
 
     directory = F.regexp_extract(F.col(path_col), "^(.*)/[^/]*$", 1)
-    found = before.mapInArrow(lean(matched), schema).withColumn("__dir", directory)
-    # The text is not needed to inherit: only short columns are stored and shuffled.
+    # The texts are matched once; only short columns are stored and shuffled.
+    found = saved(before.mapInArrow(lean(matched), schema).withColumn("__dir", directory), "matched")
     licensed = saved(
         found.where("__file").select("__dir", "__own", "__cosine").groupBy("__dir").agg(
             F.min_by("__own", F.struct(-F.col("__cosine"), F.col("__own"))).alias("license")),
         "licensed")
-    inherited = saved(_inherited(before.select(directory.alias("dir")), licensed), "inherited")
+    inherited = saved(_inherited(found.select(F.col("__dir").alias("dir")), licensed), "inherited")
     joined = found.join(inherited.withColumnRenamed("dir", "__dir"), "__dir", "left")
     return joined.select(
-        *[F.col(c) for c in names],
+        *[F.col(c) for c in kept],
         F.coalesce("__own", "__license").alias("license"),
         F.col("__cosine").alias("cosine"),
         F.when(F.col("__own").isNotNull(), "own").when(
