@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has columns ``a`` and ``b``. Each round links neighbours of a vertex to
     the least of them, first those above it, then those below, until nothing changes.
-    A vertex with very many neighbours is a partial minimum and a join that adaptive
+    A vertex with very many neighbours has one row a task in the minimum and a join that adaptive
     execution can split; nothing is collected. No edges give no rows.
     """
     pairs = saved(edges.where("a <> b").select(
@@ -46,6 +46,7 @@ def _to_least(pairs: DataFrame) -> DataFrame:
 
 
 def _below(pairs: DataFrame) -> DataFrame:
-    least = saved(pairs.groupBy("a").agg(F.min("b").alias("m")), "least")
+    # After the first step a vertex has few neighbours below it.
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
     others = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionAll(least.select("a", F.col("m").alias("b"))).distinct()

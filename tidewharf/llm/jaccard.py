@@ -4,13 +4,18 @@ A document is its set of hashed word shingles. Two sets with a Jaccard similarit
 at least ``similarity`` share a token among the first few of either in any fixed order
 (the prefix), so only prefix tokens are shuffled.
 
-1. Every document is compared with one partner, the least document of the token bucket
-   it shares most of its prefix with. The links found make groups of similar documents.
+1. In ``ROUNDS`` rounds every document is compared with one partner of about its size: in
+   each token bucket the leader is the document with the fewest rare tokens in its prefix,
+   and a document takes the leader, of another group than its own, that it shares most of
+   its prefix with. The links found make groups of similar documents.
 2. The matrix holds each group's union of prefix tokens. A document opens another group
-   only if the tokens it shares with the group's union leave room for the similarity,
-   and is then compared with the group's members.
+   only if the tokens it shares with the group's union leave room for the similarity and
+   one of them comes early enough in both, and is then compared with the group's members.
 3. Components of all links are the classes.
 
+The rounds are linear in the documents; they make large groups of near copies one group
+before anything is compared group by group. How many there are changes only the cost.
+
 Pairs inside a group are never listed: it is connected already. Tokens that are frequent
 come last in the order, so they are in a prefix only where a document has few others;
 which tokens count as frequent changes the cost, never the result.
@@ -30,17 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewharf.llm.common import raw_bytes, saved
+from tidewharf.llm.common import lean, raw_bytes, saved
 from tidewharf.llm.components import components
 
 SHINGLE = 5
 #: A similarity of 4/5 as a fraction: 5 * intersection >= 4 * union.
 #: A token is frequent if this many documents of one block hold it, ...
-BLOCK_COUNT = 8
+BLOCK_COUNT = 2
 BLOCK_TOKENS = 1 << 21
-#: ... this many in the sum of such blocks, and at most 2**20 tokens are (one in 2**20 of all).
-LEAST_FREQUENT = 64
-FREQUENT_BITS = 20
+#: ... this many in the sum of such blocks, and one in 2**22 of all tokens or more: at most 2**22 are.
+LEAST_FREQUENT = 32
+FREQUENT_BITS = 22
+#: Rounds with one partner each before groups are opened.
+ROUNDS = 2
 #: Bits of the filter that keeps texts without a partner out of the comparison's shuffle.
 FILTER_BITS = 26
 
@@ -132,42 +139,46 @@ def _described(source: DataFrame, seed: int, size: int) -> DataFrame:
             yield frequent(fields)
 
     return source.mapInArrow(
-        describe, f"{schema}, vertex bigint, check bigint, n int, token bigint, count bigint")
+        lean(describe), f"{schema}, vertex bigint, check bigint, n int, token bigint, count bigint")
 
 
 def _prefixes(source: DataFrame, seed: int, size: int, frequent: np.ndarray) -> DataFrame:
-    """token, vertex, n for each token of each prefix; frequent tokens come last in the order.
+    """token, vertex, shape for each token of each prefix; frequent tokens come last in the order.
 
-    A vertex with equal texts in several partitions is listed once in each.
+    The shape holds the size of the set, 16 bits of the token's rank in the prefix (from 0, the
+    largest also standing for all beyond) and 8 of how many of its tokens are rare. A vertex with equal texts in several partitions is listed once in each.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, vertices, sizes, counts = [np.zeros(0, np.int64)], [], [], []
+            tokens, shapes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            vertices, counts = [], []
             for text in raw_bytes(batch["text"]):
                 vertex = _vertex(text, seed)[0]
                 if vertex in seen:
                     continue
                 seen.add(vertex)
                 own = shingles(text, size)
-                n = len(own)
+                n = rare = len(own)
                 if not n:
                     continue
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     last = frequent[at] == own
                     own = np.concatenate((own[~last], own[last]))
+                    rare = n - int(last.sum())
+                ranks = np.minimum(np.arange(prefix_size(n)), 0xFFFF)
                 tokens.append(own[:prefix_size(n)])
+                shapes.append(n << 24 | ranks << 8 | min(rare, prefix_size(n), 0xFF))
                 vertices.append(vertex)
-                sizes.append(n)
                 counts.append(prefix_size(n))
             yield pa.RecordBatch.from_pydict({
                 "token": np.concatenate(tokens),
                 "vertex": np.repeat(np.array(vertices, np.int64), counts),
-                "n": np.repeat(np.array(sizes, np.int32), counts),
+                "shape": np.concatenate(shapes),
             })
 
-    return source.select("text").mapInArrow(cut, "token bigint, vertex bigint, n int")
+    return source.select("text").mapInArrow(lean(cut), "token bigint, vertex bigint, shape bigint")
 
 
 def _room(shared, n, other):
@@ -211,7 +222,7 @@ def _verified(source: DataFrame, seed: int, size: int, pairs: DataFrame) -> Data
             if found:
                 yield _sets_batch(vertices, found)
 
-    every = source.select("text").mapInArrow(sets, "vertex bigint, tokens array<bigint>")
+    every = source.select("text").mapInArrow(lean(sets), "vertex bigint, tokens array<bigint>")
     partners = pairs.select(F.col("b").alias("vertex")).distinct()
     firsts = saved(every.join(partners, "vertex", "left_semi").groupBy("vertex").agg(
         F.first("tokens").alias("others")), "partners")
@@ -253,28 +264,29 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .where(F.col("c") >= least).select("token").toArrow()["token"].to_numpy(), np.int64))
 
     prefixes = _prefixes(source, seed, size, frequent)
-    buckets = prefixes.groupBy("token").agg(
-        F.min(F.struct("vertex", "n")).alias("least"), F.max("vertex").alias("last"))
-    shared = buckets.where("least.vertex < last").select(
-        "token", F.col("least.vertex").alias("partner"), F.col("least.n").alias("partner_n"))
-    entries = saved(prefixes.join(shared, "token"), "entries")
-
-    # One partner each: the one with most tokens in common that may be similar.
-    partners = (
-        entries.where("vertex <> partner")
-        .groupBy(F.col("vertex").alias("a"), F.col("partner").alias("b"))
-        .agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("partner_n").alias("m"))
-        .where(_room(F.col("c"), F.col("n"), F.col("m")))
-        .groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    )
-    links = saved(_verified(source, seed, size, saved(partners, "pairs")), "links")
+    # Of two documents that share a token, neither matters if their sizes are too far apart.
+    shared = prefixes.groupBy("token").agg(
+        F.min("vertex").alias("least"), F.max("vertex").alias("last"), F.count("*").alias("c"),
+        F.min("shape").alias("small"), F.max("shape").alias("large"),
+    ).where("least < last and (c > 2 or shiftright(large, 24) * 4 <= shiftright(small, 24) * 5)")
+    entries = saved(prefixes.join(shared.select("token"), "token").select(
+        "token", "vertex", F.shiftright("shape", 24).cast("int").alias("n"),
+        F.shiftright("shape", 8).bitwiseAND(0xFFFF).cast("int").alias("rank"),
+        F.col("shape").bitwiseAND(0xFF).cast("int").alias("rare")).distinct(), "entries")
+
+    grouped = entries.withColumn("group", F.col("vertex"))
+    links = None
+    for turn in range(ROUNDS):
+        pairs = saved(_leaders(grouped, turn), "pairs")
+        found = saved(_verified(source, seed, size, pairs), "links")
+        links = found if links is None else links.unionAll(found)
+        grouped = saved(_regrouped(grouped, found), "grouped")
+    pairs = saved(_between_groups(grouped), "pairs")
+    if not pairs.isEmpty():
+        links = links.unionAll(saved(_verified(source, seed, size, pairs), "links"))
     groups = components(links)
 
-    found = _between_groups(entries, groups)
-    more = saved(_verified(source, seed, size, saved(found, "pairs")), "links")
-    roots = components(links.unionAll(more)) if not more.isEmpty() else groups
-
-    rooted = rows.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").withColumn(
+    rooted = rows.join(groups.withColumnRenamed("v", "vertex"), "vertex", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "vertex")))
     rooted = saved(rooted, "rooted")
     ids = saved(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("least_id")),
@@ -284,28 +296,63 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("least_id", F.when(F.col("root").isNull(), F.col("id"))).alias("component"))
 
 
-def _between_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """Every document that has just been linked joins its partner's group.
+
+    A group that is still two of those that the links connect costs comparisons only.
+    """
+    own = grouped.select(F.col("vertex").alias("b"), F.col("group").alias("to")).distinct()
+    moves = links.join(own, "b").select(F.col("a").alias("vertex"), "to")
+    moves = saved(moves.groupBy("vertex").agg(F.min("to").alias("to")), "moves")
+    return grouped.join(moves, "vertex", "left").select(
+        "token", "vertex", "n", "rank", "rare", F.coalesce("to", "group").alias("group"))
+
+
+def _leaders(grouped: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): for each document the leader of another group that it shares most with.
+
+    Leaders are per token and class of sizes; in every other turn the classes are shifted by
+    half, so that sizes close to a border meet too.
+    """
+    size_class = F.floor(F.log("n") / F.log(F.lit(1.25)) + 0.5 * (turn % 2)).cast("int")
+    classed = grouped.withColumn("class", size_class)
+    leaders = saved(classed.groupBy("token", "class").agg(F.min(F.struct(
+        "rare", F.col("vertex").alias("b"), F.col("n").alias("m"),
+        F.col("group").alias("other"))).alias("it")), "leaders")
+    return (
+        classed.join(leaders, ["token", "class"]).where(F.col("group") != F.col("it.other"))
+        .groupBy(F.col("vertex").alias("a"), F.col("it.b").alias("b"))
+        .agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("it.m").alias("m"))
+        .where(_room(F.col("c"), F.col("n"), F.col("m")))
+        .groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    )
+
+
+def _between_groups(grouped: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents in different groups that the token-group matrix leaves open."""
-    grouped = saved(
-        entries.select("token", "vertex", "n").distinct()
-        .join(groups.withColumnRenamed("v", "vertex"), "vertex", "left")
-        .withColumn("group", F.coalesce("root", "vertex")).drop("root"),
-        "grouped")
     mixed = saved(grouped.groupBy("token").agg(
         F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"),
         "mixed")
-    rows = saved(grouped.join(mixed, "token"), "queries")
+    # Sets of n and m tokens with a common part of 4/9 (n + m) share a token whose rank is at
+    # most (5 n - 4 m) / 9 in the one and (5 m - 4 n) / 9 in the other: 4 m is within the reach
+    # of the first there, 4 n within that of the second.
+    rows = saved(grouped.join(mixed, "token").withColumn("reach", F.expr("5 * n - 9 * rank")),
+                 "queries")
     matrix = saved(rows.groupBy("token", "group").agg(
-        F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("group_reach")),
+        "matrix")
     met = rows.withColumnRenamed("group", "own").join(matrix, "token").where(
         "own > `group` and n * 5 >= least * 4 and most * 5 >= n * 4")
+    early = F.expr("4 * n <= group_reach and 4 * least <= reach")
     opened = met.groupBy("vertex", "n", "group").agg(
-        F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.max(F.when(early, F.col("reach"))).alias("reach")).where("reach is not null")
     n, c = F.col("n"), F.col("c")
     # The need for shared tokens is least at one end of the sizes in the group.
     low = F.greatest(F.col("least"), F.ceil(n * 4 / 5).cast("int"))
     high = F.least(F.col("most"), F.floor(n * 5 / 4).cast("int"))
     opened = saved(opened.where(_room(c, n, low) | _room(c, n, high)), "opened")
     members = rows.select("group", F.col("vertex").alias("b"), F.col("n").alias("m")).distinct()
-    return opened.join(members, "group").where(_room(c, n, F.col("m"))).select(
+    return opened.join(members, "group").where(
+        _room(c, n, F.col("m")) & (F.col("m") * 4 <= F.col("reach"))).select(
         F.col("vertex").alias("a"), "b").distinct()
