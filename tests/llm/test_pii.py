@@ -61,3 +61,16 @@ def test_detect_handles_nulls_and_clashing_columns(spark):
         (0, []), (1, []), (3, [("email", 0, 6)]), (3, [("email", 0, 6)])]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert detect(empty).collect() == []
+
+
+@pytest.mark.parametrize("text, kind, piece", [
+    ("call +1 415 555 26 seven one now", "phone", "+1 415 555 26 seven one"),
+    ("call +1 415 555 26 one, please", "phone", "+1 415 555 26 one"),
+    ("card five 4 2 4 two 4 2 4 2 4 2 4 2 4 2 4 2, ok", "card", None),  # 17 digits, Luhn fails
+    ("card four 2 4 2 four 2 4 2 4 2 4 2 4 2 4 2, ok", "card",
+     "four 2 4 2 four 2 4 2 4 2 4 2 4 2 4 2"),
+    ("from 2019 2020 2021 2022 one by one", "card", None),
+])
+def test_few_or_scattered_spelled_digits(text, kind, piece):
+    added = [(KINDS[k], text[a:b]) for a, k, b, base in all_spans(text) if not base]
+    assert added == ([(kind, piece)] if piece else [])

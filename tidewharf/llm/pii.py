@@ -101,7 +101,11 @@ _NUMBERS = {
     "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NUMBER = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?{_NUMBER}(?:[ .()-]+(?:{_NUMBER}|[0-9]+))*(?!\w)", re.I)
+_SPELLED = re.compile(
+    rf"(?<!\w)(?:plus[ -]+)?(?:{_NUMBER}|[0-9]++)(?:[ .()-]+(?:{_NUMBER}|[0-9]++))*(?!\w)", re.I)
+#: The least digits that a detector wants of a number with few words in it.
+LEAST_DIGITS = 10
+_MARKS = str.maketrans(dict.fromkeys("-.()+,;:!?", " "))
 _SPELLED_PART = re.compile(rf"(?<!\w)(?:(plus)[ -]+|({_NUMBER})(?!\w))", re.I)
 # At and dot in brackets, with spaces around.
 _AT = r"(?:at|arroba|ät|@)"
@@ -157,8 +161,12 @@ class Rewritten:
 
 
 def _spelled(run: Rewritten) -> Rewritten:
-    inside = [m.span() for m in _SPELLED.finditer(run.text)
-              if len(_SPELLED_PART.findall(m[0])) >= 3]
+    inside = []
+    for m in _SPELLED.finditer(run.text):
+        parts = _SPELLED_PART.findall(m[0])
+        if len(parts) >= 3 or parts and len(_digits(m[0])) + sum(
+                bool(number) for _, number in parts) >= LEAST_DIGITS:
+            inside.append(m.span())
     if not inside:
         return run
     at = 0
@@ -175,18 +183,31 @@ def _spelled(run: Rewritten) -> Rewritten:
 
 
 def _may_be_spelled(words: list[str]) -> bool:
-    """Whether there are three numbers in words, two of them at most one word apart."""
+    """Whether there are three numbers in words, two of them at most one word apart.
+
+    Or a run of words that are numbers or digits, some of each, with enough digits in all.
+    """
     at = [i for i, word in enumerate(words) if word in _NUMBERS]
-    return len(at) > 2 and any(b - a <= 2 for a, b in zip(at, at[1:]))
+    if len(at) > 2 and any(b - a <= 2 for a, b in zip(at, at[1:])):
+        return True
+    spelled = digits = 0
+    for word in words:
+        if word in _NUMBERS:
+            spelled, digits = spelled + 1, digits + 1
+        elif word.isdecimal():
+            digits += len(word)
+        elif word != "plus":
+            spelled = digits = 0
+        if spelled and digits >= LEAST_DIGITS:
+            return True
+    return False
 
 
 def rewritten(text: str) -> Rewritten | None:
     """The text after all transducers; None if none of them has anything to change."""
     glyphs = None if text.isascii() else _GLYPH.search(text)
     words = text.lower() if glyphs is None else _GLYPH.sub(lambda m: _GLYPHS[m[0]], text).lower()
-    for mark in "-.()":
-        words = words.replace(mark, " ")
-    words = words.split()
+    words = words.translate(_MARKS).split()
     numbers = not _NUMBERS.keys().isdisjoint(words) and _may_be_spelled(words)
     dots = not _DOT_WORDS.isdisjoint(words)
     if not (glyphs or numbers or dots or _ANY_BRACKETED.search(text)):
