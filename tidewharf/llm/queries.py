@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewharf.llm import (
-    decontaminate, jaccard, licenses, lines, passages, pii, sentencepiece_bpe, syncmers,
-    token_counts, toxicity,
+    decontaminate, jaccard, licenses, lines, passages, periods, pii, sentencepiece_bpe,
+    syncmers, token_counts, toxicity,
 )
 from tidewharf.llm.common import read
 
@@ -123,6 +123,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = periods.runs(documents.select(
+        "doc_id", periods.echoed(F.col("text"), F.col("doc_id")).alias("text"))).drop("text")
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    return found.withColumn("top", F.when(F.size("runs") > 0, longest)).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.l")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("1000 * (-top.l) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(
+            F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]),
+            F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_decontamination": op2_decontamination,
@@ -134,6 +155,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_passages": op9_passages,
     "op10_fingerprints": op10_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE_SQL}
