@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewharf.llm import (
-    decontaminate, jaccard, licenses, lines, passages, periods, pii, sentencepiece_bpe,
-    syncmers, token_counts, toxicity,
+    decontaminate, jaccard, licenses, lines, passages, periods, pii, secrets,
+    sentencepiece_bpe, syncmers, token_counts, toxicity,
 )
 from tidewharf.llm.common import read
 
@@ -123,6 +123,31 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no repositories: a source is an owner, and its languages are its repositories."""
+    documents = read(spark, sf_dir, "documents")
+    found = secrets.scan(
+        documents.select("doc_id", "text", "source", "lang"), F.col("source"), F.concat_ws(
+            "/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))))
+
+    def number(condition) -> Column:
+        return F.size(F.filter("spans", condition)).cast("bigint")
+
+    def of_kind(i: int) -> Column:
+        return number(lambda s: s["kind"] == i).alias(f"n_{secrets.KINDS[i][0]}")
+
+    return found.select(
+        "doc_id",
+        *[of_kind(i) for i in range(secrets.BASE_KINDS)],
+        F.sha2(secrets.listed(F.filter(
+            "spans", lambda s: s["kind"] < secrets.BASE_KINDS)), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+        number(lambda s: s["verdict"] == "live").alias("n_live"),
+        number(lambda s: s["verdict"] == "example").alias("n_example"),
+        secrets.listed(F.filter("spans", lambda s: s["verdict"] == "live")).alias("live_spans"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     found = periods.runs(documents.select(
@@ -155,7 +180,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_passages": op9_passages,
     "op10_fingerprints": op10_fingerprints,
+    "op11_secrets": op11_secrets,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": lines.ORACLE_SQL,
+    "op11_secrets": secrets.ORACLE_SQL,
+}
