@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewharf.session import scratch_dir
 
@@ -33,6 +34,11 @@ def saved(df: DataFrame, purpose: str, options: dict[str, str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def raw_bytes(column: pa.Array) -> Iterator[bytes | None]:
     """The texts of a string column in UTF-8, one by one, without decoding them."""
     for text in column.cast(pa.binary()):

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewharf.llm.common import lean, raw_bytes
+from tidewharf.llm.common import lean, let, raw_bytes
 
 MIN_WORDS = 12
 #: Words of texts that are worked on together; a longer text is a chunk of its own.
@@ -92,17 +92,20 @@ def echoed(text: Column, doc_id: Column) -> Column:
     word i >= a becomes word a + (i - a) % p, with a = g % n and p = 1 + (n - a) // (3 + g % 8).
     Other texts, those without words and those of null ids stay as they are.
     """
-    def build(words: Column, h: Column) -> Column:
-        n, g = F.size(words), F.floor(h / 10)
-        a = F.pmod(g, n).cast("int")
-        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))).cast("int")
-        echo = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
-            words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p))))
-        return F.when(n > 0, F.array_join(echo, " ")).otherwise(text)
-
     h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def echo(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        return let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda to: F.array_join(
+            F.transform(words, lambda w, i: F.when(i < to["a"], w).otherwise(
+                F.get(words, to["a"] + F.pmod(i - to["a"], to["p"])))), " "))
+
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-    return F.when(h % 10 == 0, build(words, h)).otherwise(text)
+    return F.when(h % 10 == 0, let(words, lambda own: F.when(
+        F.size(own) > 0, echo(own)).otherwise(text))).otherwise(text)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:

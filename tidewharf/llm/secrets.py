@@ -24,12 +24,10 @@ of ``KINDS``; all columns of the caller but the text stay, one that clashes with
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewharf.llm.common import saved
+from tidewharf.llm.common import let, saved
 
 # The base patterns and the least lengths of what they find.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -71,11 +69,6 @@ NEEDED = {"access": ("AKIA",), "jwt": (".eyJ",), "pem": ("PRIVATE KEY-----",), "
           "provider": ("gh", "glpat-", "xox", "sk_live_", "AIza", "npm_")}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x)
 
@@ -88,12 +81,12 @@ def _running_totals(values: Column) -> Column:
                            lambda first: F.slice(all_, first, width))
 
     def summed(cut: Column) -> Column:
-        return _let(F.transform(cut, _total), lambda sums: _let(
+        return let(F.transform(cut, _total), lambda sums: let(
             F.transform(sums, lambda _, b: _total(F.slice(sums, 1, b))),
             lambda offsets: F.flatten(F.transform(cut, lambda block, b: F.transform(
                 block, lambda _, i: F.get(offsets, b) + _total(F.slice(block, 1, i + 1)))))))
 
-    return _let(values, lambda all_: _let(blocks(all_), summed))
+    return let(values, lambda all_: let(blocks(all_), summed))
 
 
 def _length(text: Column) -> Column:
@@ -122,7 +115,7 @@ def _spans(text: Column, number: int) -> Column:
             m["end"].alias("end"), F.md5(m["value"]).alias("value"),
             _looks_live(m["value"]).alias("looks_live")))
 
-    found = _let(F.regexp_extract_all(text, regex, F.lit(0)),
+    found = let(F.regexp_extract_all(text, regex, F.lit(0)),
                  lambda whole: F.when(F.size(whole) > 0, placed(whole)))
     if kind in NEEDED:
         needed = F.lit(False)
