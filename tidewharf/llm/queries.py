@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewharf.llm import (
-    decontaminate, jaccard, licenses, lines, passages, periods, pii, secrets,
+    collocations, decontaminate, jaccard, licenses, lines, passages, periods, pii, secrets,
     sentencepiece_bpe, syncmers, token_counts, toxicity,
 )
 from tidewharf.llm.common import read
@@ -148,6 +148,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     found = periods.runs(documents.select(
@@ -181,10 +185,12 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_fingerprints": op10_fingerprints,
     "op11_secrets": op11_secrets,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE_SQL,
     "op11_secrets": secrets.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
