@@ -42,6 +42,7 @@ ORACLES = {
         select o_orderstatus, o_orderpriority, count(*) as n_orders, max(o_orderdate) as last_order
         from orders group by 1, 2""",
     "jdbc_partitioned_source": "select * from orders",
+    "jdbc_text_partitioned_source": "select *, c_mktsegment || '/' || c_name as path from customer",
     "sql_transform": """
         select o_orderpriority, cast(month(o_orderdate) as bigint) as order_month,
                count(*) as n_orders

@@ -38,8 +38,11 @@ def registered(function):
 JDBC_SETTINGS = ("url", "driver", "user", "password")
 
 
-def _orders_database(spark: SparkSession, sf_dir: str) -> dict:
-    """Connection to a database holding a fresh copy of orders, and its table's name.
+def _database_copy(
+    spark: SparkSession, sf_dir: str, name: str = "orders",
+    column_types: str = "o_orderstatus VARCHAR(8), o_orderpriority VARCHAR(32)",
+) -> dict:
+    """Connection to a database holding a fresh copy of a table, and that copy's name.
 
     A cluster names a database that its executors can reach in
     ``spark.tidewharf.jdbc.url`` (and ``.driver``, ``.user``, ``.password``). A
@@ -50,16 +53,16 @@ def _orders_database(spark: SparkSession, sf_dir: str) -> dict:
     if not given["url"]:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.tidewharf.jdbc.url to a database the executors can reach")
-        name = scratch_dir(spark, "orders").rsplit("/", 1)[1]
+        memory = scratch_dir(spark, name).rsplit("/", 1)[1]
         given.update(
-            url=f"jdbc:derby:memory:{name};create=true",
+            url=f"jdbc:derby:memory:{memory};create=true",
             driver="org.apache.derby.jdbc.EmbeddedDriver",
         )
-    table = "orders_" + scratch_dir(spark, "copy").rsplit("-", 1)[1]
+    table = f"{name}_" + scratch_dir(spark, "copy").rsplit("-", 1)[1]
     connection = {key: value for key, value in given.items() if value}
     jdbc_sink(
-        load(spark, sf_dir, "orders"), table=table, data_mode="error_if_exists",
-        max_connections=8, column_types="o_orderstatus VARCHAR(8), o_orderpriority VARCHAR(32)",
+        load(spark, sf_dir, name), table=table, data_mode="error_if_exists",
+        max_connections=8, column_types=column_types,
         **connection,
     )
     database = Database(spark, connection["url"], connection["driver"], connection.get("user"),
@@ -71,7 +74,7 @@ def _orders_database(spark: SparkSession, sf_dir: str) -> dict:
 @registered
 def jdbc_query_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query the database answers itself: orders per status and priority."""
-    connection = _orders_database(spark, sf_dir)
+    connection = _database_copy(spark, sf_dir)
     table = connection.pop("table")
     return jdbc_source(
         spark,
@@ -85,7 +88,7 @@ def jdbc_query_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def jdbc_partitioned_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders, read in four ranges of the customer key."""
-    connection = _orders_database(spark, sf_dir)
+    connection = _database_copy(spark, sf_dir)
     table = connection.pop("table")
     return jdbc_source(
         spark, query=f"SELECT * FROM {table}", fetch_size=10_000, partition_column="o_custkey",
@@ -93,6 +96,18 @@ def jdbc_partitioned_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def jdbc_text_partitioned_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, read in eight ranges of segment and name, a text that the query makes."""
+    connection = _database_copy(
+        spark, sf_dir, "customer", "c_name VARCHAR(64), c_mktsegment VARCHAR(32)")
+    table = connection.pop("table")
+    return jdbc_source(
+        spark, query=f'SELECT t.*, "c_mktsegment" || \'/\' || "c_name" AS "path" FROM {table} t',
+        partition_column="path", partition_num=8, spread_column="c_custkey", **connection,
+    )
+
+
 # --- Transforms and jobs --------------------------------------------------------
 
 _MONTHLY = """
