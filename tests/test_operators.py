@@ -73,6 +73,6 @@ def test_rules_of_a_table(spark, rows):
                                   "priority int, pattern string, tag string")
     assert rows(tag_rows(texts, "t", table, "none").select("id", "tag")) == [
         (1, "A"), (2, "B"), (3, "none")]
-    for bad in ([(1, None, "x")], [(i, "p", "x") for i in range(1001)], [(1, "a", "x"), (1, "b", "y")]):
+    for bad in ([(1, None, "x")], [(1, "a", "x"), (1, "b", "y")]):
         with pytest.raises(ValueError):
             tag_rows(texts, "t", spark.createDataFrame(bad, table.schema), "none")

@@ -1,0 +1,63 @@
+"""Rules from a table: the same tags as looking for every phrase in every text."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewharf.operators import tag_rows
+
+RULES = "priority bigint, pattern string, tag string"
+
+
+def brute(texts, rules, default):
+    ordered = sorted(rules)
+    return [default if t is None else next((tag for _, p, tag in ordered if p in t), default) for t in texts]
+
+
+def tagged(spark, texts, rules, default="none"):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(5)
+    got = tag_rows(df, "t", spark.createDataFrame(rules, RULES), default)
+    return [r.tag for r in got.orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_as_brute_force(spark, seed):
+    rng = random.Random(seed)
+    letters = "abcé😀 \n."
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += [None, "", texts[0], "a" * 5000, "😀" * 9]
+    phrases = {"".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 3, 4, 5, 6, 9)))) for _ in range(250)}
+    if seed == 2:
+        phrases = {p for p in phrases if len(p) > 4}
+    rules = [(i * 3 - 50, p, f"tag {i % 40}") for i, p in enumerate(sorted(phrases, key=lambda p: p[::-1]))]
+    expected = brute(texts, rules, "none")
+    assert tagged(spark, texts, rules) == expected
+    assert len(set(expected)) > 5
+
+
+def test_empty_phrases_and_tables(spark):
+    texts = ["abc", "", None]
+    assert tagged(spark, texts, [(5, "", "any"), (7, "abc", "late"), (9, "", "never")]) == ["any", "any", "none"]
+    assert tagged(spark, texts, [(5, "", "any"), (1, "abc", "first")]) == ["first", "any", "none"]
+    assert tagged(spark, texts, []) == ["none"] * 3
+    empty = spark.createDataFrame([], "t string")
+    assert tag_rows(empty, "t", spark.createDataFrame([(1, "a", "b")], RULES), "x").collect() == []
+
+
+def test_clashing_names_and_maps(spark):
+    df = spark.sql("SELECT 'find me' AS text, 1 AS key, 'r' AS row, map('a', 1) AS slice, 'old' AS tag, 2 AS rules")
+    got = tag_rows(df, "text", spark.createDataFrame([(1, "find", "new")], RULES), "none").first()
+    assert got.asDict() == {"text": "find me", "key": 1, "row": "r", "slice": {"a": 1}, "tag": "new", "rules": 2}
+
+
+def test_a_hundred_thousand_rules(spark):
+    rules = spark.range(100_000).selectExpr(
+        "id AS priority", "concat('phrase ', hex(id * 7919), ' end') AS pattern", "concat('t', id) AS tag")
+    texts = spark.range(2000).selectExpr(
+        "id", "IF(id % 4 = 0, 'nothing here', concat('phrase x; phrase ', hex(id * 31 * 7919), ' end, phrase ',"
+        " hex((id * 31 + 1) * 7919), ' end')) AS t")
+    got = tag_rows(texts, "t", rules, "none")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert got.where(F.expr("tag <> IF(id % 4 = 0, 'none', concat('t', id * 31))")).count() == 0

@@ -627,3 +627,17 @@ def rule_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_rows(load(spark, sf_dir, "documents"), "text", RULES, "untagged").select(
         "doc_id", "tag"
     )
+
+
+@registered
+def rule_table_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the first word of the benchmark texts that its whole text holds.
+
+    The rules are a table: every word of three letters or more, by where it stands first.
+    """
+    words = load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(
+        F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("at", "pattern"))
+    rules = words.groupBy("pattern").agg(
+        F.min(F.col("item_id") * 1_000_000 + F.col("at")).alias("priority"),
+        F.concat(F.lit("item "), F.min("item_id").cast("string")).alias("tag"))
+    return tag_rows(load(spark, sf_dir, "documents"), "text", rules, "none").select("doc_id", "tag")

@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rule_index import tag_by_table
+
 
 class Rule(NamedTuple):
     priority: int
@@ -14,31 +16,18 @@ class Rule(NamedTuple):
     tag: str
 
 
-# Rules become one expression, so a table of them must be short.
-MOST_RULES = 1000
-
-
-def rules_from(table: DataFrame) -> list[Rule]:
-    """The rules of a table with columns priority, pattern and tag; more than
-    ``MOST_RULES`` are an error, as is a rule with a null."""
-    rows = table.select("priority", "pattern", "tag").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    if any(value is None for row in rows for value in row):
-        raise ValueError("a rule has a null")
-    return [Rule(int(r.priority), r.pattern, r.tag) for r in rows]
-
-
 def tag_rows(
     df: DataFrame, text: str, rules: Sequence[Rule] | DataFrame, default: str, *, name: str = "tag"
 ) -> DataFrame:
     """Add the tag of the lowest-priority-number rule found in ``text``.
 
-    ``rules`` is a list or a table (see ``rules_from``). Rules are written by hand and
-    few, so they become one CASE expression: the texts are read once where they lie, without a join or a shuffle. Two rules
-    may not share a priority, or the result would depend on their order.
+    A list of rules is written by hand and short, so it becomes one CASE expression: the
+    texts are read once where they lie, without a join or a shuffle. A table of rules, of any
+    length, is indexed (``tag_by_table``). Two rules may not share a priority, or the result
+    would depend on their order.
     """
-    rules = rules_from(rules) if isinstance(rules, DataFrame) else rules
+    if isinstance(rules, DataFrame):
+        return tag_by_table(df, text, rules, default, name=name)
     if len({rule.priority for rule in rules}) != len(rules):
         raise ValueError("rule priorities must differ")
     tag: Column = F.lit(default)

@@ -34,6 +34,7 @@ SCHEMAS = {
     ),
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
 }
 
 
