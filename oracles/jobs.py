@@ -141,8 +141,8 @@ ORACLES = {
         from documents""",
     "rule_table_tagging": """
         with words as (select item_id, regexp_extract_all(text, '[A-Za-z]{3,}') as w from benchmark),
-        placed as (select item_id, unnest(w) as pattern, unnest(range(len(w))) as at from words),
-        rules as (select pattern, min(item_id * 1000000 + at) as priority,
+        placed as (select item_id, unnest(w) as pattern, unnest(range(len(w))) as pos from words),
+        rules as (select pattern, min(item_id * 1000000 + pos) as priority,
                          'item ' || min(item_id) as tag from placed group by pattern)
         select doc_id, coalesce((select min_by(tag, priority) from rules
                                  where contains(text, pattern)), 'none') as tag
