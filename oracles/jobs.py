@@ -68,6 +68,7 @@ ORACLES = {
                o_orderstatus is distinct from 'F' as latest
         from orders group by o_orderstatus""",
     "file_sink_staged": "select * from orders",
+    "file_sink_listed": "select *, 'stopped, refused' as outcomes, 2::bigint as n_runs from orders",
     "table_sink_append": "select * from orders",
     "table_sink_data_modes": _modes([
         ("append", "accepted", "true"),

@@ -19,7 +19,8 @@ from .plans import (
 )
 from .session import at_clearing, scratch_database, scratch_database_name, scratch_dir
 from .sinks import (
-    Database, file_sink, jdbc_sink, latest_run, load_once, merge_changes, table_sink,
+    Database, file_sink, jdbc_sink, latest_run, load_once, merge_changes, published_runs,
+    read_run, table_sink,
 )
 from .sources import jdbc_source, load
 from .sources.tables import SCHEMAS
@@ -266,6 +267,29 @@ def file_sink_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["orders"]).parquet(path)
 
 
+@registered
+def file_sink_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs published by lists of files: a first, one appended, one that dies, one refused."""
+    orders, path = load(spark, sf_dir, "orders"), scratch_dir(spark, "listed")
+    options = {"fmt": "parquet", "listed": True, "partition_by": ["o_orderstatus"]}
+    file_sink(orders.where("o_orderstatus = 'F'"), path, **options)
+    file_sink(orders.where("not o_orderstatus <=> 'F'"), path, mode="append", **options)
+    broken = orders.withColumn("o_totalprice", F.expr(
+        "o_totalprice + if(o_orderkey is null, 0, raise_error('stopped'))"))
+    outcomes = []
+    for batch, mode in ((broken, "overwrite"), (orders, "errorifexists")):
+        try:
+            file_sink(batch, path, mode=mode, **options)
+            outcomes.append("accepted")
+        except FileExistsError:
+            outcomes.append("refused")
+        except Exception:  # the stopped job's, whatever wraps it
+            outcomes.append("stopped")
+    return read_run(spark, path).withColumns({
+        "outcomes": F.lit(", ".join(outcomes)),
+        "n_runs": F.lit(len(published_runs(spark, path))).cast("bigint")})
+
+
 STATUSES = ("F", "O", "P")
 
 

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .gather import gathered
+from .lists import RUNS, publish_run
 from .publish import exists, filesystem, publish
 
 FORMATS = ("csv", "json", "orc", "parquet", "text", "xml")
@@ -34,6 +35,7 @@ def file_sink(
     now: datetime | None = None,
     tmp_path: str | None = None,
     transaction: bool = False,
+    listed: bool = False,
     mode: str = "errorifexists",
 ) -> str:
     """Write ``df`` under ``path`` and return the directory written.
@@ -50,6 +52,9 @@ def file_sink(
     run_stamp               strftime pattern; the output goes to ``path/run=<stamp>``
     tmp_path, transaction   write elsewhere first and move the finished directory
                             into place, so a failed run leaves the target as it was
+    listed                  publish the run by a list of its files, atomic on object stores
+                            too; read with ``read_run``. Every mode can be used, the
+                            returned directory is ``path``
     mode                    errorifexists, overwrite, ignore or append
     """
     if fmt not in FORMATS:
@@ -57,15 +62,17 @@ def file_sink(
     if row_delimiter not in ROW_DELIMITERS:
         raise ValueError("row delimiter must be \\n or \\r\\n")
     staged = transaction or tmp_path is not None
+    if staged and listed:
+        raise ValueError("a listed run needs no staging")
     if staged and mode == "append":
         raise ValueError("a staged write replaces its directory; append with run_stamp instead")
 
-    spark = df.sparkSession
+    spark, stamp = df.sparkSession, None
     if run_stamp is not None:
         if not _sorts(run_stamp):
             raise ValueError(f"run stamps {run_stamp!r} do not sort by time, year first is needed")
         stamp = (now or datetime.now(timezone.utc)).strftime(run_stamp)
-        path = f"{path.rstrip('/')}/run={stamp}"
+        path = path if listed else f"{path.rstrip('/')}/run={stamp}"
     if columns is not None:
         df = df.select(*columns, *[c for c in partition_by if c not in columns])
     directories = list(partition_by)
@@ -91,6 +98,10 @@ def file_sink(
         writer = df.write.format(fmt).options(**options).mode(how)
         (writer.partitionBy(*directories) if directories else writer).save(to)
 
+    if listed:
+        publish_run(df, path, lambda folder: write(folder, "errorifexists"), fmt, options,
+                    mode=mode, stamp=stamp, partition_by=directories)
+        return path
     if not staged:
         write(path, mode)
         return path
@@ -126,6 +137,8 @@ def latest_run(spark: SparkSession, path: str) -> str | None:
     fs, base = filesystem(spark, path)
     if not fs.exists(base):
         return None
+    if exists(spark, f"{path.rstrip('/')}/{RUNS}"):
+        raise ValueError(f"the runs of {path} are lists of files; use read_run")
     runs = [
         status.getPath().toString()
         for status in fs.listStatus(base)
