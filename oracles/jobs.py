@@ -50,6 +50,9 @@ ORACLES = {
     "job_chain": """
         select c_mktsegment, c_nationkey, count(*) as n_orders
         from orders join customer on o_custkey = c_custkey group by 1, 2""",
+    "job_resume": """
+        select sink, 'stopped' as at_first, orders.*
+        from orders, (values ('first'), ('second'), ('third')) s(sink)""",
     "file_sink_delimited": "select * from orders",
     "file_sink_format": """
         select supplier.*, format

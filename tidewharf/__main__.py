@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
 
     etl = commands.add_parser("etl")
     etl.add_argument("job", help="JSON file with env, source, transform and sink")
+    etl.add_argument("--run", help="name of this run; after a failure it goes on where it stopped")
 
     gen = commands.add_parser("generate")
     gen.add_argument("-d", "--database", default="default")
@@ -60,7 +61,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         _print(run_statement(spark, args.statement))
     elif args.command == "etl":
         with open(args.job, encoding="utf-8") as file:
-            written = Job.from_spec(json.load(file)).run(spark)
+            written = Job.from_spec(json.load(file)).run(spark, args.run)
         for name, result in written.items():
             print(f"{name}\t{result}")
         clear_scratch(spark)

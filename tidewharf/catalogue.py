@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import benchmark
 from .functions.exact import CENTS, cents, total
 from .operators import Rule, tag_rows
 from .plans import (
-    FileSink, Job, ParquetSource, SqlTransform, Workspace, run_statement, sql_transform,
+    FileSink, JdbcSource, Job, ParquetSource, SqlTransform, TableSink, Workspace, run_statement,
+    sql_transform,
 )
 from .session import at_clearing, scratch_database, scratch_database_name, scratch_dir
 from .sinks import (
     Database, file_sink, jdbc_sink, latest_run, load_once, merge_changes, published_runs,
     read_run, table_sink,
 )
+from .sinks.publish import filesystem
 from .sources import jdbc_source, load
 from .sources.tables import SCHEMAS
 from .workload import WORKLOAD
@@ -154,6 +157,42 @@ def job_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("c_mktsegment string, c_nationkey int, n_orders bigint").csv(written)
 
 
+@registered
+def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named run whose second of three sinks fails, run again: what each sink holds in the end."""
+    connection, path = _database_copy(spark, sf_dir), scratch_dir(spark, "resumed")
+    table, url, driver = (connection.pop(key) for key in ("table", "url", "driver"))
+    db = scratch_database(spark, "resumed")
+    file_sink(load(spark, sf_dir, "orders").limit(0), f"{path}/second", "parquet")  # in the way
+    job = Job(
+        source={"resumed_orders": JdbcSource(url, f"SELECT * FROM {table}", driver, connection)},
+        sink={
+            "first": TableSink(f"{db}.orders", label="run", ledger=f"{db}.ledger"),
+            "second": FileSink(f"{path}/second", {"fmt": "parquet"}),
+            "third": FileSink(f"{path}/third", {"fmt": "parquet", "listed": True, "mode": "append"}),
+        },
+    )
+    run_id = path.rsplit("-", 1)[1]
+    try:
+        job.run(spark, run_id)
+        outcome = "finished"
+    except AnalysisException:  # the path is taken
+        outcome = "stopped"
+    filesystem(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/second"), True)
+    for _ in range(2):
+        job.run(spark, run_id)
+    held = {
+        "first": spark.table(f"{db}.orders").drop("load_label"),
+        "second": spark.read.schema(SCHEMAS["orders"]).parquet(f"{path}/second"),
+        "third": read_run(spark, f"{path}/third"),
+    }
+    result = None
+    for name, rows in held.items():
+        part = rows.select(F.lit(name).alias("sink"), F.lit(outcome).alias("at_first"), *rows.columns)
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 # --- File sinks -----------------------------------------------------------------
 
 

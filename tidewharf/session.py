@@ -57,7 +57,8 @@ def at_clearing(spark: SparkSession, action: Callable[[], None]) -> None:
     _cleanups.setdefault(spark.sparkContext.applicationId, []).append(action)
 
 
-def _application_scratch(spark: SparkSession) -> str:
+def _base(spark: SparkSession) -> str:
+    """The folder that the driver, all executors and later applications share."""
     application = spark.sparkContext.applicationId
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
@@ -66,7 +67,16 @@ def _application_scratch(spark: SparkSession) -> str:
         if application not in _local_scratch:
             _local_scratch[application] = tempfile.mkdtemp(prefix="tidewharf-")
         base = _local_scratch[application]
-    return f"{base.rstrip('/')}/tidewharf-{application}"
+    return base.rstrip("/")
+
+
+def _application_scratch(spark: SparkSession) -> str:
+    return f"{_base(spark)}/tidewharf-{spark.sparkContext.applicationId}"
+
+
+def lasting_dir(spark: SparkSession, name: str) -> str:
+    """A folder beside the scratch data that ``clear_scratch`` leaves, the same for every application."""
+    return f"{_base(spark)}/tidewharf-lasting/{name}"
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:

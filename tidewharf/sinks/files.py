@@ -36,6 +36,7 @@ def file_sink(
     tmp_path: str | None = None,
     transaction: bool = False,
     listed: bool = False,
+    label: str | None = None,
     mode: str = "errorifexists",
 ) -> str:
     """Write ``df`` under ``path`` and return the directory written.
@@ -55,6 +56,7 @@ def file_sink(
     listed                  publish the run by a list of its files, atomic on object stores
                             too; read with ``read_run``. Every mode can be used, the
                             returned directory is ``path``
+    label                   publish a listed run once, however often it is tried
     mode                    errorifexists, overwrite, ignore or append
     """
     if fmt not in FORMATS:
@@ -62,6 +64,8 @@ def file_sink(
     if row_delimiter not in ROW_DELIMITERS:
         raise ValueError("row delimiter must be \\n or \\r\\n")
     staged = transaction or tmp_path is not None
+    if label is not None and not listed:
+        raise ValueError("a label needs a listed run")
     if staged and listed:
         raise ValueError("a listed run needs no staging")
     if staged and mode == "append":
@@ -71,8 +75,9 @@ def file_sink(
     if run_stamp is not None:
         if not _sorts(run_stamp):
             raise ValueError(f"run stamps {run_stamp!r} do not sort by time, year first is needed")
-        stamp = (now or datetime.now(timezone.utc)).strftime(run_stamp)
-        path = path if listed else f"{path.rstrip('/')}/run={stamp}"
+        now = now or datetime.now(timezone.utc)
+        stamp = now.strftime(run_stamp)
+        path = path if listed else run_path(path, run_stamp, now)
     if columns is not None:
         df = df.select(*columns, *[c for c in partition_by if c not in columns])
     directories = list(partition_by)
@@ -100,7 +105,7 @@ def file_sink(
 
     if listed:
         publish_run(df, path, lambda folder: write(folder, "errorifexists"), fmt, options,
-                    mode=mode, stamp=stamp, partition_by=directories)
+                    mode=mode, stamp=stamp, partition_by=directories, label=label)
         return path
     if not staged:
         write(path, mode)
@@ -122,6 +127,10 @@ def file_sink(
     return path
 
 
+def run_path(path: str, run_stamp: str, now: datetime) -> str:
+    return f"{path.rstrip('/')}/run={now.strftime(run_stamp)}"
+
+
 def _sorts(pattern: str) -> bool:
     """Whether texts of the pattern are in the order of their times."""
     times = [

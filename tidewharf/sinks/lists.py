@@ -65,12 +65,23 @@ def read_run(spark: SparkSession, path: str, run: str | None = None) -> DataFram
 def publish_run(
     df: DataFrame, path: str, write: Callable[[str], None], fmt: str, options: Mapping[str, str],
     *, mode: str = "errorifexists", stamp: str | None = None, partition_by: Sequence[str] = (),
+    label: str | None = None,
 ) -> str:
-    """Write a run with ``write(folder)`` and publish it; returns the name of its list."""
+    """Write a run with ``write(folder)`` and publish it; returns the name of its list.
+
+    A run whose ``label`` is in a list was published before and is not written again. Numbered lists
+    carry the labels on, so the newest is enough to tell.
+    """
     if LOAD in df.columns:
         raise ValueError(f"a published table cannot have a column {LOAD}")
     spark, path = df.sparkSession, path.rstrip("/")
     runs = published_runs(spark, path)
+    labels = {}
+    if label is not None and runs:
+        known = runs if stamp is None else [run for run in runs if run == stamp]
+        labels = run_list(spark, path, known[-1]).get("labels", {}) if known else {}
+        if label in labels:
+            return labels[label]
     if stamp is None:
         if runs and not _NUMBERED.fullmatch(runs[-1]):
             raise ValueError(f"{path} holds stamped runs; publish with a stamp")
@@ -98,7 +109,8 @@ def publish_run(
         files += _files(spark, path, folder)
         published = create_once(spark, f"{path}/{RUNS}/{name}.json", json.dumps({
             "run": name, "format": fmt, "options": dict(options),
-            "rows_schema": df.schema.jsonValue(), "partition_by": list(partition_by), "files": files}))
+            "rows_schema": df.schema.jsonValue(), "partition_by": list(partition_by), "files": files,
+            "labels": {**labels, **({label: name} if label is not None else {})}}))
     except Exception:
         _remove(spark, f"{path}/{folder}")
         raise
