@@ -61,6 +61,7 @@ ORACLES = {
     "file_sink_partitioned": """
         select *, o_orderstatus as by_o_orderstatus, o_orderpriority as by_o_orderpriority
         from orders""",
+    "file_sink_directory": "select *, year(o_orderdate) as year, month(o_orderdate) as month from orders",
     "file_sink_columns": "select l_shipdate, l_orderkey, l_returnflag from lineitem",
     "file_sink_batch": """
         select count(*) as n_lines, true as files_within_limit, true as enough_files

@@ -22,7 +22,7 @@ from .plans import (
 from .session import at_clearing, scratch_database, scratch_database_name, scratch_dir
 from .sinks import (
     Database, file_sink, jdbc_sink, latest_run, load_once, merge_changes, published_runs,
-    read_run, table_sink,
+    read_directories, read_run, table_sink,
 )
 from .sinks.publish import filesystem
 from .sources import jdbc_source, load
@@ -246,6 +246,20 @@ def file_sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).parquet(path)
 
 
+@registered
+def file_sink_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in directories by an expression over year, month, status and priority, read back."""
+    template = "year=${year},month=${month}/${o_orderstatus}/${o_orderpriority}"
+    path = file_sink(
+        load(spark, sf_dir, "orders"), scratch_dir(spark, "directories"), "parquet", directory=template,
+        directory_columns={"year": "year(o_orderdate)", "month": "month(o_orderdate)"},
+    )
+    left = ", ".join(c for c in SCHEMAS["orders"].split(", ")
+                     if c.split()[0] not in ("o_orderstatus", "o_orderpriority"))
+    return read_directories(
+        spark, path, template, left, types={"year": "bigint", "month": "bigint"})
+
+
 @registered
 def file_sink_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = file_sink(

@@ -1,3 +1,4 @@
+from .directories import read_directories
 from .files import file_sink, latest_run
 from .jdbc import Database, jdbc_sink
 from .ledger import load_once
@@ -17,6 +18,7 @@ __all__ = [
     "merge_changes",
     "overwrite_table",
     "published_runs",
+    "read_directories",
     "read_run",
     "remove_unlisted",
     "replace_table",

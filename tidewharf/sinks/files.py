@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .directories import placeholders, write_directories
 from .gather import gathered
 from .lists import RUNS, publish_run
 from .publish import exists, filesystem, publish
@@ -29,6 +30,8 @@ def file_sink(
     columns: Sequence[str] | None = None,
     partition_by: Sequence[str] = (),
     keep_partition_columns: bool = False,
+    directory: str | None = None,
+    directory_columns: Mapping[str, str] | None = None,
     rebalance: bool = True,
     max_rows_per_file: int = 10_000_000,
     run_stamp: str | None = None,
@@ -50,6 +53,10 @@ def file_sink(
                             a value that is too large for one
     keep_partition_columns  leave the columns in the files too; the directories
                             are then called ``by_<column>=``
+    directory               an expression such as ``${year}/${status}`` for the directories,
+                            instead of ``partition_by``; names that are no columns are
+                            SQL in ``directory_columns``. Read with ``read_directories``;
+                            always staged, so not for appending
     run_stamp               strftime pattern; the output goes to ``path/run=<stamp>``
     tmp_path, transaction   write elsewhere first and move the finished directory
                             into place, so a failed run leaves the target as it was
@@ -63,7 +70,9 @@ def file_sink(
         raise ValueError(f"unknown format {fmt}, expected one of {', '.join(FORMATS)}")
     if row_delimiter not in ROW_DELIMITERS:
         raise ValueError("row delimiter must be \\n or \\r\\n")
-    staged = transaction or tmp_path is not None
+    staged = transaction or tmp_path is not None or directory is not None
+    if directory is not None and partition_by:
+        raise ValueError("give either a directory expression or partition columns")
     if label is not None and not listed:
         raise ValueError("a label needs a listed run")
     if staged and listed:
@@ -79,7 +88,10 @@ def file_sink(
         stamp = now.strftime(run_stamp)
         path = path if listed else run_path(path, run_stamp, now)
     if columns is not None:
-        df = df.select(*columns, *[c for c in partition_by if c not in columns])
+        by = partition_by
+        if directory is not None:
+            by = [n for n in placeholders(directory) if n not in (directory_columns or {})]
+        df = df.select(*columns, *[c for c in by if c not in columns])
     directories = list(partition_by)
     if directories and keep_partition_columns:
         directories = [f"by_{c}" for c in partition_by]
@@ -99,9 +111,12 @@ def file_sink(
     elif fmt == "xml":
         options.update(rowTag="row", rootTag="rows")
 
+    def save(rows: DataFrame, to: str, how: str, by: Sequence[str]) -> None:
+        writer = rows.write.format(fmt).options(**options).mode(how)
+        (writer.partitionBy(*by) if by else writer).save(to)
+
     def write(to: str, how: str) -> None:
-        writer = df.write.format(fmt).options(**options).mode(how)
-        (writer.partitionBy(*directories) if directories else writer).save(to)
+        save(df, to, how, directories)
 
     if listed:
         publish_run(df, path, lambda folder: write(folder, "errorifexists"), fmt, options,
@@ -114,6 +129,13 @@ def file_sink(
         if mode == "ignore":
             return path
         raise FileExistsError(path)
+    if directory is not None:
+        write_directories(
+            df, path, directory,
+            lambda rows, to, by: save(
+                gathered(rows, by) if rebalance else rows, to, "errorifexists", by),
+            expressions=directory_columns, keep_columns=keep_partition_columns, tmp_path=tmp_path)
+        return path
     # A dot keeps readers of the parent directory from seeing unfinished files.
     staging = tmp_path or path.rstrip("/").rsplit("/", 1)[0]
     target = f"{staging.rstrip('/')}/.staged-{uuid.uuid4().hex[:12]}"
