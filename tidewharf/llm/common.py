@@ -34,6 +34,14 @@ def saved(df: DataFrame, purpose: str, options: dict[str, str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``saved``, or what was made of one, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, also where ``body`` uses it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
