@@ -194,9 +194,12 @@ ORACLES = {
                    / count(distinct l_quantity) as avg_distinct_qty
         from lineitem group by l_returnflag""",
     "stddev_cov": """
-        select l_suppkey, round(stddev_samp(l_quantity) / avg(l_quantity), 6) as variation
-        from lineitem group by l_suppkey
-        having round(stddev_samp(l_quantity) / avg(l_quantity), 6) > 0.5::double""",
+        with s as (select l_suppkey, count(q) as n, sum(q) as s1, sum(q * q) as s2
+                   from (select l_suppkey, cast(round(l_quantity * 100) as hugeint) as q from lineitem)
+                   group by 1),
+             v as (select l_suppkey, sqrt(cast(n * s2 - s1 * s1 as double) * n / nullif(n - 1, 0))
+                          / nullif(cast(s1 as double), 0) as variation from s)
+        select * from v where variation > 0.5::double""",
     "bucket_scalar": "select "
     + ", ".join(
         f"""case when (select count(*) from lineitem where l_quantity between {lo} and {hi}) > 5000

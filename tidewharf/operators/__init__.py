@@ -1,4 +1,5 @@
 from .changes import apply_changes
+from .distinct import distinct_numbers
 from .median import median_by
 from .readiness import readiness
 from .running import running_sum
@@ -8,6 +9,7 @@ from .tagging import Rule, tag_rows
 __all__ = [
     "Rule",
     "apply_changes",
+    "distinct_numbers",
     "median_by",
     "readiness",
     "running_sum",

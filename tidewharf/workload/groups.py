@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exact import (
-    CENTS, REVENUE, amount, cents, merge, partial, regroup, revenue_units, total,
+    CENTS, REVENUE, amount, cents, merge, moments, partial, regroup, revenue_units, total, variation,
 )
-from ..operators import readiness
+from ..operators import distinct_numbers, readiness
 from ..sources import load
 from .common import bigint, count_rows
 
@@ -99,28 +99,26 @@ def rollup_rank_in_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several distinct aggregates per return flag."""
-    quantity = cents("l_quantity")
-    return (
-        load(spark, sf_dir, "lineitem")
-        .groupBy("l_returnflag")
-        .agg(
-            F.count_distinct("l_partkey").alias("n_parts"),
-            F.count_distinct("l_suppkey").alias("n_suppliers"),
-            (
-                F.sum_distinct(quantity).cast("double") / F.lit(CENTS) / F.count_distinct(quantity)
-            ).alias("avg_distinct_qty"),
-        )
+    """Several distinct aggregates per return flag, from one scan."""
+    found = distinct_numbers(
+        load(spark, sf_dir, "lineitem"), ["l_returnflag"],
+        {"part": F.col("l_partkey"), "supp": F.col("l_suppkey"), "qty": cents("l_quantity")},
+    )
+    return found.select(
+        "l_returnflag",
+        F.col("part_count").alias("n_parts"),
+        F.col("supp_count").alias("n_suppliers"),
+        (amount("qty", CENTS) / F.nullif("qty_count", F.lit(0))).alias("avg_distinct_qty"),
     )
 
 
 def stddev_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers whose quantities vary by more than half their mean."""
-    variation = F.stddev_samp("l_quantity") / F.avg("l_quantity")
+    """Suppliers whose quantities vary by more than half their mean, from exact sums."""
     return (
         load(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey")
-        .agg(F.round(variation, 6).alias("variation"))
+        .agg(*moments(cents("l_quantity"), "qty"))
+        .select("l_suppkey", variation("qty").alias("variation"))
         .where("variation > 0.5")
     )
 
