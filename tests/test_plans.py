@@ -74,3 +74,13 @@ def test_queries_leave_the_settings_alone(spark, name):
     before = {r.key: r.value for r in spark.sql("SET").collect()}
     WORKLOAD[name](spark, SF_DIR)
     assert {r.key: r.value for r in spark.sql("SET").collect()} == before
+
+
+@pytest.mark.parametrize("name,table,scans", [
+    ("running_total", "o_orderkey", 1), ("range_join", "o_custkey", 1), ("theta_join", "p_brand", 2),
+    ("low_revenue_join", "l_suppkey", 2), ("frequent_items_max", "o_orderkey", 1),
+    ("distinct_aggs", "l_partkey", 1),
+])
+def test_scans_of_the_fact_table(spark, no_broadcast, name, table, scans):
+    text = plan(WORKLOAD[name](spark, SF_DIR))
+    assert len(re.findall(rf"FileScan parquet \[[^\]]*{table}", text)) == scans

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Pieces that the rows of a key are cut into. One task gets a piece, so a key with a
 # third of 6e11 rows is 200 million rows a task.
 SLICES = 1000
+ROWS_PER_SLICE = 1_000_000
+
+
+def slices_for(rows: int) -> int:
+    """How many slices so many rows need, if they may all be of one key."""
+    return min(1 + rows // ROWS_PER_SLICE, SLICES)
 
 
 def with_totals(

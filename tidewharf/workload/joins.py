@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exact import (
     CENTS, REVENUE, amount, cents, high, low, merge, partial, regroup, revenue_units, total,
 )
-from ..operators import running_sum, with_totals
+from ..operators import day_slices, rows_per_day, running_sum, slices_for, stored, with_totals
 from ..sources import load
 from .common import bigint, count_rows, customer_years, in_year, in_years
 
@@ -217,25 +220,29 @@ def cross_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+PAIR_DAYS = 30
+
+
+def range_join(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
     """Pairs of a customer's orders at most 30 days apart, counted per customer.
 
     An order's partners are those dated up to 30 days later less those dated up
     to the same time. Both are running counts, so the pairs are never formed. Orders of
-    one customer at one time are counted first, so a slice holds distinct times of an hour.
+    one customer at one time are counted first, so a slice holds distinct times.
     """
-    orders = (
-        load(spark, sf_dir, "orders")
-        .where("o_custkey is not null and o_orderdate is not null")
-        .groupBy("o_custkey", "o_orderdate").agg(count_rows("n"))
-    )
-    points = orders.selectExpr(
+    orders = load(spark, sf_dir, "orders").where("o_custkey is not null and o_orderdate is not null")
+    # Every order is a point on its day and one 30 days later.
+    days = rows_per_day(orders, "o_orderdate")
+    both = Counter(days)
+    for day, n in days.items():
+        both[day + timedelta(days=PAIR_DAYS)] += n
+    slices = day_slices(both, "at", F.date_trunc("hour", "at"), **slicing)
+    points = orders.groupBy("o_custkey", "o_orderdate").agg(count_rows("n")).selectExpr(
         "o_custkey", "n",
-        "stack(2, o_orderdate, 0, n, o_orderdate + interval 30 days, 1, 0L) AS (at, turn, seen)",
+        f"stack(2, o_orderdate, 0, n, o_orderdate + interval {PAIR_DAYS} days, 1, 0L) AS (at, turn, seen)",
     )
     counted = running_sum(
-        points, ["o_custkey"], ["at", "turn"], "seen", with_peers=True,
-        slice_by=F.date_trunc("hour", "at"), name="up_to",
+        points, ["o_custkey"], ["at", "turn"], "seen", with_peers=True, slice_by=slices, name="up_to",
     )
     later = F.col("n") * F.when(F.col("turn") == 1, F.col("up_to")).otherwise(-F.col("up_to"))
     return counted.groupBy("o_custkey").agg(F.sum(later).alias("n_pairs")).where("n_pairs > 0")
@@ -255,15 +262,13 @@ def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("p_size is not null and p_retailprice is not null")
         .withColumn("size", F.expr("p_size + 2147483648L"))
     )
-    least, most = (part.agg(end("size")).scalar() for end in (F.min, F.max))
-    bits = F.sequence(F.lit(0), F.lit(31))
+    ends = part.agg(F.min("size").alias("least"), F.max("size").alias("most")).first()
+    # Above the highest bit in which any two sizes differ all have one prefix.
+    n_bits = ((ends.least or 0) ^ (ends.most or 0)).bit_length()
     cells = (
         part.groupBy("p_brand", "size", "p_retailprice")
         .agg(count_rows("n"))
-        # Above the highest bit in which any two sizes differ all have one prefix.
-        .withColumn("differ", most.bitwiseXOR(least))
-        .withColumn("bit", F.explode(bits))
-        .where("shiftright(differ, bit) > 0")
+        .withColumn("bit", F.explode(F.array(*map(F.lit, range(n_bits))).cast("array<int>")))
         .selectExpr("p_brand", "p_retailprice", "n", "bit", "shiftright(size, bit) AS prefix")
     )
     # turn 0 looks up and comes first, so that it sees only strictly lower prices
@@ -391,41 +396,40 @@ def excess_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def low_revenue_join(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
-    """Supplier-part pairs whose sales are at most a tenth of the supplier's mean."""
-    lines = load(spark, sf_dir, "lineitem")
-    sales = lines.groupBy("l_suppkey", "l_partkey").agg(
-        *partial(cents("l_extendedprice"), "revenue")
-    )
+def low_revenue_join(spark: SparkSession, sf_dir: str, slices: int | None = None) -> DataFrame:
+    """Supplier-part pairs whose sales are at most a tenth of the supplier's mean.
+
+    The sales are stored, as they are read for the means and for the pairs.
+    """
+    sales = stored(load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+        *partial(cents("l_extendedprice"), "revenue")), "sales")
     of_supplier = {
         "all_hi": F.col("revenue_hi"), "all_lo": F.col("revenue_lo"), "n": F.lit(1)
     }
+    slices = slices or slices_for(sales.count())
     return (
-        with_totals(sales, ["l_suppkey"], ["l_partkey"], of_supplier, **slicing)
+        with_totals(sales, ["l_suppkey"], ["l_partkey"], of_supplier, slices=slices)
         .withColumn("revenue", amount("revenue", CENTS))
         .where(F.col("revenue") <= 0.1 * (amount("all", CENTS) / F.col("n")))
         .select("l_suppkey", "l_partkey", "revenue")
     )
 
 
-def frequent_items_max(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:
+def frequent_items_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of often-sold parts bought by customers near the top spender.
 
-    One pass over the lines: per part all lines are counted, and those of the best
-    customers' orders are summed.
+    Spend per customer is stored, for the top and for the customers near it, who are few. One
+    pass over the lines: per part all are counted, and those of these customers' orders are summed.
     """
-    price = cents("o_totalprice")
-    spent = {"spend_hi": high(price), "spend_lo": low(price)}
+    orders = load(spark, sf_dir, "orders")
+    spent = stored(
+        orders.groupBy("o_custkey").agg(*partial(cents("o_totalprice"), "spend"))
+        .select("o_custkey", amount("spend", CENTS).alias("spent")), "spent")
     # Orders of unknown customers are one group that may be the top, but nobody's.
-    known = F.col("o_custkey").isNotNull()
-    orders = with_totals(
-        load(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_totalprice", known.alias("known"),
-            F.coalesce("o_custkey", F.lit(0)).alias("customer")),
-        ["known", "customer"], ["o_orderkey"], spent, **slicing,
-    ).select("o_orderkey", "known", amount("spend", CENTS).alias("spent"))
-    best = F.col("spent") > 0.7 * orders.agg(F.max("spent")).scalar()
-    best_orders = orders.where(F.col("known") & best).select("o_orderkey").distinct()
+    top = spent.agg(F.max("spent")).first()[0]
+    best = spent.where((F.col("spent") > 0.7 * F.lit(top)) & F.col("o_custkey").isNotNull())
+    best_orders = orders.select("o_orderkey", "o_custkey").join(best, "o_custkey", "left_semi").select(
+        "o_orderkey").distinct()
     ours = F.col("o_orderkey").isNotNull()
     return (
         load(spark, sf_dir, "lineitem")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.exact import (
     CENTS, REVENUE, amount, cents, merge, partial, regroup, revenue_units,
 )
-from ..operators import running_sum
+from ..operators import day_slices, rows_per_day, running_sum
 from ..sources import load
 from .common import bigint
 
@@ -98,15 +98,16 @@ def _hour_and_key(time: str, key: str, keys_per_slice: int) -> Column:
 
 
 def running_total(
-    spark: SparkSession, sf_dir: str, *, keys_per_slice: int = KEYS_PER_SLICE
+    spark: SparkSession, sf_dir: str, *, keys_per_slice: int = KEYS_PER_SLICE, **slicing
 ) -> DataFrame:
     """Each customer's spend up to and including every order."""
     orders = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_orderdate", cents("o_totalprice").alias("cents")
     )
+    finer = _hour_and_key("o_orderdate", "o_orderkey", keys_per_slice)
+    slices = day_slices(rows_per_day(orders, "o_orderdate"), "o_orderdate", finer, **slicing)
     return running_sum(
-        orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents",
-        slice_by=_hour_and_key("o_orderdate", "o_orderkey", keys_per_slice), name="spent",
+        orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", slice_by=slices, name="spent",
     ).select(
         "o_custkey", "o_orderkey", (F.col("spent").cast("double") / F.lit(CENTS)).alias("spent")
     )
