@@ -42,6 +42,16 @@ def discard(table: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a small driver heap alone puts off
+    for longer than a job of many large steps can wait.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, also where ``body`` uses it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
