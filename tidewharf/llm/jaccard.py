@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewharf.llm.common import lean, raw_bytes, saved
+from tidewharf.llm.common import discard, lean, raw_bytes, release, saved
 from tidewharf.llm.components import components
 
 SHINGLE = 5
@@ -190,8 +190,10 @@ def _room(shared, n, other):
     return sizes & (shared * 45 >= (n + other) * 20 - F.greatest(n, other) * 36)
 
 
-def _verified(source: DataFrame, seed: int, size: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(
+    source: DataFrame, seed: int, size: int, pairs: DataFrame, used: list[DataFrame],
+) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Tables that only the result reads go to ``used``."""
     bits = 1 << FILTER_BITS
 
     def word(vertex: str):
@@ -226,6 +228,7 @@ def _verified(source: DataFrame, seed: int, size: int, pairs: DataFrame) -> Data
     partners = pairs.select(F.col("b").alias("vertex")).distinct()
     firsts = saved(every.join(partners, "vertex", "left_semi").groupBy("vertex").agg(
         F.first("tokens").alias("others")), "partners")
+    used.append(firsts)
     one = pairs.join(every.withColumnRenamed("vertex", "a"), "a")
     both = one.join(firsts.withColumnRenamed("vertex", "b"), "b")
     common = F.size(F.array_intersect("tokens", "others"))
@@ -263,13 +266,24 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         described.where("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
         .where(F.col("c") >= least).select("token").toArrow()["token"].to_numpy(), np.int64))
 
-    prefixes = _prefixes(source, seed, size, frequent)
+    used: list[DataFrame] = []  # tables that the step under way is the last to read
+
+    def done(df: DataFrame, purpose: str) -> DataFrame:
+        result = saved(df, purpose)
+        for table in used:
+            discard(table)
+        used.clear()
+        release(documents.sparkSession)
+        return result
+
+    prefixes = saved(_prefixes(source, seed, size, frequent), "prefixes")
     # Of two documents that share a token, neither matters if their sizes are too far apart.
     shared = prefixes.groupBy("token").agg(
         F.min("vertex").alias("least"), F.max("vertex").alias("last"), F.count("*").alias("c"),
         F.min("shape").alias("small"), F.max("shape").alias("large"),
     ).where("least < last and (c > 2 or shiftright(large, 24) * 4 <= shiftright(small, 24) * 5)")
-    entries = saved(prefixes.join(shared.select("token"), "token").select(
+    used.append(prefixes)
+    entries = done(prefixes.join(shared.select("token"), "token").select(
         "token", "vertex", F.shiftright("shape", 24).cast("int").alias("n"),
         F.shiftright("shape", 8).bitwiseAND(0xFFFF).cast("int").alias("rank"),
         F.col("shape").bitwiseAND(0xFF).cast("int").alias("rare")).distinct(), "entries")
@@ -277,13 +291,21 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     grouped = entries.withColumn("group", F.col("vertex"))
     links = None
     for turn in range(ROUNDS):
-        pairs = saved(_leaders(grouped, turn), "pairs")
-        found = saved(_verified(source, seed, size, pairs), "links")
+        pairs = done(_leaders(grouped, turn, used), "pairs")
+        found = _verified(source, seed, size, pairs, used)
+        used.append(pairs)
+        found = done(found, "links")
         links = found if links is None else links.unionAll(found)
-        grouped = saved(_regrouped(grouped, found), "grouped")
-    pairs = saved(_between_groups(grouped), "pairs")
+        moved = _regrouped(grouped, found, used)
+        used.append(grouped)
+        grouped = done(moved, "grouped")
+    pairs = _between_groups(grouped, used)
+    used.append(grouped)
+    pairs = done(pairs, "pairs")
     if not pairs.isEmpty():
-        links = links.unionAll(saved(_verified(source, seed, size, pairs), "links"))
+        found = _verified(source, seed, size, pairs, used)
+        used.append(pairs)
+        links = links.unionAll(done(found, "links"))
     groups = components(links)
 
     rooted = rows.join(groups.withColumnRenamed("v", "vertex"), "vertex", "left").withColumn(
@@ -296,7 +318,7 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("least_id", F.when(F.col("root").isNull(), F.col("id"))).alias("component"))
 
 
-def _regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
+def _regrouped(grouped: DataFrame, links: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Every document that has just been linked joins its partner's group.
 
     A group that is still two of those that the links connect costs comparisons only.
@@ -304,11 +326,12 @@ def _regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
     own = grouped.select(F.col("vertex").alias("b"), F.col("group").alias("to")).distinct()
     moves = links.join(own, "b").select(F.col("a").alias("vertex"), "to")
     moves = saved(moves.groupBy("vertex").agg(F.min("to").alias("to")), "moves")
+    used.append(moves)
     return grouped.join(moves, "vertex", "left").select(
         "token", "vertex", "n", "rank", "rare", F.coalesce("to", "group").alias("group"))
 
 
-def _leaders(grouped: DataFrame, turn: int) -> DataFrame:
+def _leaders(grouped: DataFrame, turn: int, used: list[DataFrame]) -> DataFrame:
     """Pairs (a, b): for each document the leader of another group that it shares most with.
 
     Leaders are per token and class of sizes; in every other turn the classes are shifted by
@@ -319,6 +342,7 @@ def _leaders(grouped: DataFrame, turn: int) -> DataFrame:
     leaders = saved(classed.groupBy("token", "class").agg(F.min(F.struct(
         "rare", F.col("vertex").alias("b"), F.col("n").alias("m"),
         F.col("group").alias("other"))).alias("it")), "leaders")
+    used.append(leaders)
     return (
         classed.join(leaders, ["token", "class"]).where(F.col("group") != F.col("it.other"))
         .groupBy(F.col("vertex").alias("a"), F.col("it.b").alias("b"))
@@ -328,7 +352,7 @@ def _leaders(grouped: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _between_groups(grouped: DataFrame) -> DataFrame:
+def _between_groups(grouped: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of documents in different groups that the token-group matrix leaves open."""
     mixed = saved(grouped.groupBy("token").agg(
         F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"),
@@ -352,6 +376,7 @@ def _between_groups(grouped: DataFrame) -> DataFrame:
     low = F.greatest(F.col("least"), F.ceil(n * 4 / 5).cast("int"))
     high = F.least(F.col("most"), F.floor(n * 5 / 4).cast("int"))
     opened = saved(opened.where(_room(c, n, low) | _room(c, n, high)), "opened")
+    used += [mixed, rows, matrix, opened]
     members = rows.select("group", F.col("vertex").alias("b"), F.col("n").alias("m")).distinct()
     return opened.join(members, "group").where(
         _room(c, n, F.col("m")) & (F.col("m") * 4 <= F.col("reach"))).select(
