@@ -111,17 +111,26 @@ def identifiers(text: str | None):
 
 def boilerplate(documents, min_sites, min_contexts):
     """Bare lines (text, source rows) that are on enough sites and in enough contexts."""
-    sites, contexts, held = defaultdict(set), defaultdict(set), defaultdict(int)
-    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    sites, contexts = defaultdict(set), defaultdict(set)
+    texts = {text: {line.strip(" \t\r") for line in text.split("\n")} - {""}
+             for text, _ in documents if text is not None}
     for text, source in documents:
-        lines = {line.strip(" \t\r") for line in (text or "").split("\n")} - {""}
-        for line in lines:
-            others = sorted(md5(x) for x in lines if x != line)
+        for line in texts.get(text, ()):
             sites[line].add(source)
-            contexts[line].add((others[0], others[-1]) if others else "")
-            held[line] += 1
-    return {line for line in held if len(sites[line]) >= min_sites
-            and len(contexts[line]) >= min_contexts and 2 * len(contexts[line]) >= held[line]}
+    spread = {line for line in sites if len(sites[line]) >= min_sites}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    for text, lines in texts.items():
+        wide = sorted(lines & spread, key=md5)
+        context = (wide[0], wide[-1]) if wide and 9 * len(wide) >= 8 * len(lines) else frozenset(lines - spread)
+        for line in wide:
+            contexts[line].add(("text", text))
+            contexts[line].add(("context", context))
+    found = set()
+    for line, seen in contexts.items():
+        n = sum(kind == "context" for kind, _ in seen)
+        if n >= min_contexts and 2 * n >= len(seen) - n:
+            found.add(line)
+    return found
 
 
 def without_lines(text, lines):

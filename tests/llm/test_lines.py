@@ -4,6 +4,7 @@ import pytest
 from brute import boilerplate, without_lines
 from compare import connect, differences
 from conftest_paths import SF_DIR
+from pyspark.sql import functions as F
 from tidewharf.llm import lines
 
 SCHEMA = "doc_id long, text string, source string"
@@ -67,3 +68,38 @@ def test_a_very_long_text(spark):
     got = lines.remove_boilerplate(spark.createDataFrame(docs, SCHEMA), min_sites=2, min_contexts=2)
     assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in got.collect()) == [
         (1, 100_000, 1), (2, 2, 1)]
+
+
+def removed(spark, docs, **settings):
+    """How many lines each document loses, by id."""
+    got = lines.remove_boilerplate(spark.createDataFrame(docs, SCHEMA).repartition(4), **settings)
+    return {r.doc_id: r.n_removed for r in got.collect()}
+
+
+def test_a_template_of_many_lines(spark):
+    template = [f"template line {i}" for i in range(20)]
+    docs = [(i, "\n".join(template[:10] + [f"own {i} {j}" for j in range(5)] + template[10:]), f"s{i % 60}")
+            for i in range(600)]
+    assert set(removed(spark, docs).values()) == {20}
+
+
+@pytest.mark.parametrize("copies", [0, 40, 60, 1000])
+def test_copies_of_a_page_do_not_hide_a_line(spark, copies):
+    docs = [(i, f"the line\nown {i}\nmore {i}", f"s{i % 50}") for i in range(50)]
+    docs += [(1000 + i, "the line\na page\ncopied", f"s{i % 7}") for i in range(copies)]
+    assert set(removed(spark, docs).values()) == {1}
+
+
+def test_edited_copies_do_not_make_boilerplate(spark):
+    page = [f"line {i} of a text" for i in range(30)]
+    docs = [(i, "\n".join([*page[:i % 30], f"edit {i}", *page[i % 30 + 1:]]), f"s{i % 20}") for i in range(200)]
+    assert set(removed(spark, docs).values()) == {0}
+
+
+def test_names_that_were_used_inside(spark):
+    df = spark.createDataFrame([(i, f"everywhere\nown {i}", f"s{i}", f"k{i}", i, {"a": i}) for i in range(30)],
+                               "doc_id long, text string, source string, __key string, __drop int, row map<string,int>")
+    df = df.withColumn("text_key", F.lit("t")).withColumn("drop", F.lit("d"))
+    got = lines.remove_boilerplate(df).orderBy("doc_id").collect()
+    assert [(r["__key"], r["__drop"], r["row"], r["text_key"], r["drop"], r.text) for r in got] == [
+        (f"k{i}", i, {"a": i}, "t", "d", f"own {i}") for i in range(30)]

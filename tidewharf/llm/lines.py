@@ -1,21 +1,25 @@
 """Line dedup: boilerplate lines by how many sites and contexts they are spread over.
 
-A line is boilerplate if it stands on at least ``min_sites`` sites, in at least
-``min_contexts`` different contexts, and in at least half as many contexts as documents. The
-context of a line is the least and the greatest other line of its document (by MD5): copies
-of one document are one context and edited copies mostly are, so copying a document does not
-make its lines boilerplate, while lines that often stand together keep their contexts.
+A line is spread if it stands on at least ``min_sites`` sites. Spread lines are boilerplate if they
+stand in at least ``min_contexts`` different contexts and in at least half as many contexts as
+different texts. The context of a line is what else its text holds: the other lines that are
+not spread. So the lines of a template are told by the pages they are in, not by each other.
+Where spread lines are all but a ninth of a text's lines, two such texts would be near copies of
+similarity 0.8 or more; then the context is the least and greatest of the spread lines, which
+copies and edited copies share. So neither makes the lines of its text boilerplate, and copies do
+not count as texts.
 
 Sites and contexts are counted by HyperLogLog sketches per line, which aggregation merges.
 Lines whose estimates are within a quarter of a threshold get exact distinct counts. With
 2**12 registers the standard error is 1.6 %, so what lies outside of that band is at least
-12 standard errors away; the sketches of few values are nearly exact.
+12 standard errors away; the sketches of few values are nearly exact. Contexts are compared by
+128 bits that do not depend on the order of lines.
 
 Defined results: lines are compared without spaces, tabs and carriage returns around them;
 empty lines are no lines and stay; a null text stays null and an empty one empty; a text of
 boilerplate only becomes empty, its row stays; a line repeated in a document counts once
-and is removed everywhere; a null site is a site of its own; a document's only line has the
-empty context.
+and is removed everywhere; a null site is a site of its own. All columns stay as they are, whatever
+their names, but for the two counts.
 """
 
 from __future__ import annotations
@@ -43,53 +47,80 @@ def _keys(text: Column) -> Column:
     return F.transform(_lines(text), lambda line: F.when(_bare(line) != "", F.md5(_bare(line))))
 
 
-def occurrences(documents: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """``line`` (MD5), ``site``, ``context``: one row for each distinct line of each document."""
-    held = documents.select(
-        # Sketches do not count empty strings.
-        F.concat(F.lit("="), F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"),
-        F.array_sort(F.array_distinct(F.array_compact(_keys(F.col(text_col))))).alias("keys"))
+def _distinct_keys(text: Column) -> Column:
+    return F.array_distinct(F.array_compact(_keys(text)))
 
-    def at(end: int) -> Column:
-        return F.get("keys", F.lit(end) if end >= 0 else F.size("keys") + end)
 
-    def other(end: str, beside: str) -> Column:
-        found = F.when(F.col("line") == F.col(end), F.col(beside)).otherwise(F.col(end))
-        return F.coalesce(found, F.lit(""))
+def _near(estimate: Column, threshold: Column) -> Column:
+    return (estimate * 5 >= threshold * 4) & (estimate * 4 <= threshold * 5)
 
-    return held.select(
-        "site", at(0).alias("first"), at(1).alias("second"), at(-1).alias("last"),
-        at(-2).alias("last_but_one"), F.explode("keys").alias("line"),
-    ).select("line", "site", F.concat(
-        F.lit("="), other("first", "second"), other("last", "last_but_one")).alias("context"))
 
+def _estimate(column: str) -> Column:
+    return F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(LG_REGISTERS)))
 
-def boilerplate(documents: DataFrame, *, text_col: str = "text", site_col: str = "source",
-                min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """``line``: the MD5 of each boilerplate line."""
-    seen = occurrences(documents, text_col, site_col)
-    spread = saved(
-        seen.groupBy("line").agg(
-            F.count("*").alias("n"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("sites"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("context", F.lit(LG_REGISTERS))).alias("contexts"),
-        )
-        # Estimates are within the band of the truth, so the rest is surely below a threshold.
-        .where((F.col("n") >= min_contexts) & (F.col("sites") * 5 >= min_sites * 4)),
-        "spread")
+
+def spread_lines(
+    documents: DataFrame, text_col: str, site_col: str, min_sites: int = MIN_SITES,
+) -> DataFrame:
+    """``line``: the MD5 of each line that stands on enough sites."""
+    seen = documents.select(
+        # Sketches do not count empty strings.
+        F.concat(F.lit("="), F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"),
+        F.explode(_distinct_keys(F.col(text_col))).alias("line"))
+    sites = saved(
+        seen.groupBy("line").agg(F.count("*").alias("n"), _estimate("site").alias("sites"))
+        # Estimates are within the band of the truth, so the rest is surely below the threshold.
+        .where((F.col("n") >= min_sites) & (F.col("sites") * 5 >= min_sites * 4)), "sites")
+    unsure = _near(F.col("sites"), F.lit(min_sites))
+    exact = seen.join(sites.where(unsure).select("line"), "line", "left_semi").groupBy("line").agg(
+        F.count_distinct("site").alias("sites"))
+    enough = F.col("sites") >= min_sites
+    return saved(sites.where(~unsure & enough).select("line").unionAll(
+        exact.where(enough).select("line")), "spread")
+
+
+def _xor(keys: Column, salt: int) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda sum_, key: sum_.bitwiseXOR(
+        F.xxhash64(key, F.lit(salt))))
+
+
+def _spread_in_texts(documents: DataFrame, text_col: str, spread: DataFrame) -> DataFrame:
+    """``text_key, spread, context``: a row for every different text with spread lines."""
+    text = F.col(text_col)
+    keys = documents.select(F.md5(text).alias("text_key"), _distinct_keys(text).alias("keys"))
+    # Summed up before the lines are rows, not once for each of them.
+    summed = keys.select("text_key", "keys", F.size("keys").alias("size"),
+                         _xor(F.col("keys"), 0).alias("all0"), _xor(F.col("keys"), 1).alias("all1"))
+    marked = summed.select("text_key", "size", "all0", "all1", F.explode("keys").alias("line"))
+    texts = marked.join(spread, "line").groupBy("text_key").agg(
+        F.first("size").alias("size"), F.first("all0").alias("all0"), F.first("all1").alias("all1"),
+        F.collect_set("line").alias("spread"))
+    own = [F.col(f"all{i}").bitwiseXOR(_xor(F.col("spread"), i)).cast("string") for i in (0, 1)]
+    return texts.select("text_key", "spread", F.when(
+        F.size("spread") * 9 >= F.col("size") * 8,
+        F.concat(F.lit("s"), F.array_min("spread"), F.array_max("spread")),
+    ).otherwise(F.concat_ws(",", F.lit("o"), *own)).alias("context"))
+
+
+def _boilerplate(texts: DataFrame, min_contexts: int) -> DataFrame:
+    """``line``: those of the spread lines that are in enough contexts."""
+    held = texts.select("context", F.explode("spread").alias("line"))
+    counts = saved(held.groupBy("line").agg(
+        F.count("*").alias("n"), _estimate("context").alias("contexts")), "contexts")
     need = F.greatest(F.lit(float(min_contexts)), F.col("n") / 2)
+    unsure = _near(F.col("contexts"), need)
+    exact = held.join(counts.where(unsure).select("line"), "line", "left_semi").groupBy("line").agg(
+        F.count("*").alias("n"), F.count_distinct("context").alias("contexts"))
+    enough = F.col("contexts") >= need
+    return saved(counts.where(~unsure & enough).select("line").unionAll(
+        exact.where(enough).select("line")), "boilerplate")
 
-    def near(estimate: Column, threshold: Column) -> Column:
-        return (estimate * 5 >= threshold * 4) & (estimate * 4 <= threshold * 5)
 
-    enough = (F.col("sites") >= min_sites) & (F.col("contexts") >= need)
-    unsure = near(F.col("sites"), F.lit(min_sites)) | near(F.col("contexts"), need)
-    close = spread.where(unsure).select("line")
-    exact = seen.join(close, "line", "left_semi").groupBy("line").agg(
-        F.count("*").alias("n"), F.count_distinct("site").alias("sites"),
-        F.count_distinct("context").alias("contexts"))
-    return saved(spread.where(~unsure & enough).select("line").unionAll(
-        exact.where(enough).select("line")), "boilerplate")
+def boilerplate(documents: DataFrame, *, text_col: str = "text", site_col: str = "source",
+                min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """``line``: the MD5 of each boilerplate line."""
+    spread = spread_lines(documents, text_col, site_col, min_sites)
+    return _boilerplate(saved(_spread_in_texts(documents, text_col, spread), "texts"), min_contexts)
 
 
 def remove_boilerplate(documents: DataFrame, *, text_col: str = "text", site_col: str = "source",
@@ -99,32 +130,30 @@ def remove_boilerplate(documents: DataFrame, *, text_col: str = "text", site_col
 
     Columns with the names of the counts are replaced.
     """
-    found = boilerplate(documents, text_col=text_col, site_col=site_col, min_sites=min_sites,
-                        min_contexts=min_contexts)
-    before = documents.drop(lines_col, removed_col)
+    spread = spread_lines(documents, text_col, site_col, min_sites)
+    texts = saved(_spread_in_texts(documents, text_col, spread), "texts")
+    found = _boilerplate(texts, min_contexts)
     # What to remove depends on the text alone: equal texts share one entry.
-    text_key = F.md5(F.col(text_col))
-    places = (
-        documents.select(text_key.alias("__key"), F.explode(F.array_distinct(
-            F.array_compact(_keys(F.col(text_col))))).alias("line"))
-        .join(found, "line")
-        .distinct()
-        .groupBy("__key").agg(F.collect_set("line").alias("__drop"))
-    )
-    joined = before.withColumn("__key", text_key).join(saved(places, "places"), "__key", "left")
-    none = F.array().cast("array<string>")
-    dropped = F.coalesce("__drop", none)
-    lines = _lines(F.col(text_col))
+    places = saved(
+        texts.select("text_key", F.explode("spread").alias("line")).join(found, "line")
+        .groupBy("text_key").agg(F.collect_list("line").alias("drop")), "places")
+    names = [c for c in documents.columns if c not in (lines_col, removed_col)]
+    joined = documents.select(
+        F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("text_key"),
+    ).join(places, "text_key", "left")
+    lines = _lines(F.col("text"))
     kept = F.filter(lines, lambda line: (_bare(line) == "") | ~F.array_contains(
-        dropped, F.md5(_bare(line))))
+        F.col("drop"), F.md5(_bare(line))))
     n_lines = F.size(F.filter(lines, lambda line: _bare(line) != "")).cast("bigint")
     n_kept = F.size(F.filter(kept, lambda line: _bare(line) != "")).cast("bigint")
-    changed = F.col("__drop").isNotNull()
-    return joined.select(
-        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c)
-          if c == text_col else F.col(c) for c in before.columns],
-        n_lines.alias(lines_col),
-        F.when(changed, n_lines - n_kept).otherwise(F.lit(0)).cast("bigint").alias(removed_col))
+    changed = F.col("drop").isNotNull()
+    done = joined.select(
+        "row", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("new_text"),
+        n_lines.alias("n_all"),
+        F.when(changed, n_lines - n_kept).otherwise(F.lit(0)).cast("bigint").alias("n_gone"))
+    return done.select(
+        *[(F.col("new_text") if c == text_col else F.col("row").getField(c)).alias(c) for c in names],
+        F.col("n_all").alias(lines_col), F.col("n_gone").alias(removed_col))
 
 
 ORACLE_SQL = f"""
@@ -132,22 +161,26 @@ with parts as (
   select doc_id, text, source, unnest(string_split(text, chr(10))) as line,
          generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 keyed as (select *, trim(line, ' ' || chr(9) || chr(13)) as bare from parts),
-held as (select distinct doc_id, text, source, md5(bare) as h from keyed where bare <> ''),
-two as (select doc_id, text, list_sort(list(h)) as hs from held group by doc_id, text),
-spread as (
-  select h, count(*) as n, count(distinct coalesce(source, '')) as sites,
-         count(distinct coalesce(case when h = hs[1] then hs[2] else hs[1] end, '')
-                        || coalesce(case when h = hs[-1] then hs[-2] else hs[-1] end, '')) as contexts
-  from held join two using (doc_id, text) group by h),
-bad as (select h from spread where sites >= {MIN_SITES} and contexts >= {MIN_CONTEXTS}
-        and 2 * contexts >= n),
+held as materialized (select distinct text, source, md5(bare) as h from keyed where bare <> ''),
+spread as (select h from held group by h having count(distinct coalesce('=' || source, '')) >= {MIN_SITES}),
+in_text as (select distinct text, h, h in (select h from spread) as is_spread from held),
+texts as (
+  select text, count(*) as n, list_sort(list(h) filter (is_spread)) as s,
+         array_to_string(list_sort(list(h) filter (not is_spread)), ',') as own
+  from in_text group by text having bool_or(is_spread)),
+contexts as (
+  select text, unnest(s) as h,
+         case when 9 * len(s) >= 8 * n then 's' || s[1] || s[-1] else 'o' || coalesce(own, '') end as context
+  from texts),
+bad as (select h from contexts group by h
+        having count(distinct context) >= {MIN_CONTEXTS} and 2 * count(distinct context) >= count(*)),
 marked as (select k.*, b.h is not null as dropped from keyed k
            left join bad b on k.bare <> '' and md5(k.bare) = b.h),
 done as (
   select doc_id, text, count(*) filter (bare <> '') as n_lines,
          count(*) filter (dropped) as n_removed,
          string_agg(line, chr(10) order by pos) filter (not dropped) as kept
-  from marked group by doc_id, text)
+  from (select distinct on (doc_id, text, pos) * from marked) group by doc_id, text)
 select d.doc_id, coalesce(n.n_lines, 0) as n_lines, coalesce(n.n_removed, 0) as n_removed,
        case when d.text is null then null else coalesce(n.kept, '') end as text
 from documents d left join done n on d.doc_id = n.doc_id and d.text = n.text
