@@ -65,3 +65,33 @@ def test_without_labels_and_with_odd_rows(spark):
     got = {r.doc_id: (r.score >= 0.5, r.n_matches) for r in tox.score(documents, lexicon).collect()}
     assert got == {1: (False, 0), 2: (False, 0), None: (True, 2), 3: (False, 0)}
     assert tox.score(documents.limit(0), lexicon).collect() == []
+
+
+def test_exceptions_in_one_sweep():
+    """As holding every word against every phrase, and quick for many of both."""
+    import random
+    import time
+
+    from tidewharf.llm.toxicity import Lexicon, automaton, weight_of
+    rng = random.Random(3)
+    machine = automaton(Lexicon({"trash": 2.0, "can": 1.0}, {"gar": 4.0}, 0.0, 1.0, 1.0, ("trash can", "can gar", "a can")))
+    for _ in range(300):
+        words = [rng.choice(["trash", "can", "gar", "garden", "a", "x"]) for _ in range(rng.randint(0, 12))]
+        spans, at = [], 0
+        for w in words:
+            spans.append((at, at + len(w), w))
+            at += len(w) + 1
+        text = " ".join(words)
+        free = []
+        for i, (start, end, w) in enumerate(spans):
+            weight = {"trash": 2.0, "can": 1.0, "gar": 4.0, "garden": 4.0}.get(w)
+            term_end = start + 3 if w == "garden" else end
+            held = any(text.startswith(p, a) and a <= start and term_end <= a + len(p)
+                       and not text[a + len(p):a + len(p) + 1].isalpha()
+                       for a, _, _ in spans for p in ("trash can", "can gar", "a can"))
+            if weight and not held:
+                free.append(weight)
+        assert weight_of(text, machine) == (sum(free), len(free))
+    begin = time.perf_counter()
+    assert weight_of("trash can " * 100_000, machine) == (0.0, 0)
+    assert time.perf_counter() - begin < 3

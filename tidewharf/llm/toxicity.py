@@ -127,10 +127,15 @@ def weight_of(text: str | None, machine) -> tuple[float, int]:
                 excepted.append((start, last + 1))
             elif weight > words.get(start, (0.0, 0))[0]:
                 words[start] = (weight, last + 1)
-    kept = [
-        weight for start, (weight, end) in words.items()
-        if not any(a <= start and end <= b for a, b in excepted)
-    ]
+    # In order of start, the furthest end of the phrases begun so far tells which words they hold.
+    excepted.sort()
+    kept, reach, i = [], 0, 0
+    for start in sorted(words):
+        weight, end = words[start]
+        while i < len(excepted) and excepted[i][0] <= start:
+            reach, i = max(reach, excepted[i][1]), i + 1
+        if end > reach:
+            kept.append(weight)
     return math.fsum(kept), len(kept)
 
 
