@@ -74,3 +74,34 @@ def test_detect_handles_nulls_and_clashing_columns(spark):
 def test_few_or_scattered_spelled_digits(text, kind, piece):
     added = [(KINDS[k], text[a:b]) for a, k, b, base in all_spans(text) if not base]
     assert added == ([(kind, piece)] if piece else [])
+
+
+@pytest.mark.parametrize("text, kind, piece", [
+    ("jоhn@example.com", "email", "jоhn@example.com"),
+    ("to mary.jоnes@example.org now", "email", "mary.jоnes@example.org"),
+    ("at one nine two dot one six eight dot one dot one there", "ip",
+     "one nine two dot one six eight dot one dot one"),
+    ("+1 four one five, five five five, two six seven one!", "phone",
+     "+1 four one five, five five five, two six seven one"),
+    ("+1 four one five triple five two six seven one", "phone", "+1 four one five triple five two six seven one"),
+    ("ring +1 4l5 555 267l today", "phone", "+1 4l5 555 267l"),
+    ("ring +1 4O5 555 O671 today", "phone", "+1 4O5 555 O671"),
+    ("𝐣𝐨𝐡𝐧@example.com", "email", "𝐣𝐨𝐡𝐧@example.com"),
+    ("jo\u04bbn@example.com", "email", "jo\u04bbn@example.com"),
+    ("+१ ४१५ ५५५ २६७१", "phone", "+१ ४१५ ५५५ २६७१"),
+    ("+¹ ⁴¹⁵ ⁵⁵⁵ ²⁶⁷¹", "phone", "+¹ ⁴¹⁵ ⁵⁵⁵ ²⁶⁷¹"),
+    ("john at example.com wrote", "email", "john at example.com"),
+    ("john at mail.example.co.uk wrote", "email", "john at mail.example.co.uk"),
+    ("we met at noon.Then we left at home.", "email", None),
+    ("Plan B5l and lO in room 1O1", "phone", None),
+    ("one, two, three and four, five", "card", None),
+])
+def test_more_disguises(text, kind, piece):
+    added = [(KINDS[k], text[a:b]) for a, k, b, base in all_spans(text) if not base]
+    assert added == ([(kind, piece)] if piece else [])
+
+
+def test_base_spans_stay_beside_longer_ones():
+    text = "jоhn@example.com"
+    assert [(a, KINDS[k], b, base) for a, k, b, base in all_spans(text)] == [
+        (0, "email", 16, False), (2, "email", 16, True)]

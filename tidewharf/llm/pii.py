@@ -4,8 +4,9 @@ Plain forms are found in the text as it is (the base spans). Disguised ones go t
 transducers, each a rewriting that keeps for every character the place it came from:
 look-alike letters and digits, invisible characters, "at" and "dot" in brackets or in
 words, and spelled digits. The same detectors run on the rewritten text, and their spans
-are mapped back to code points of the source. A span found that way is added unless it
-overlaps a base span.
+are mapped back to code points of the source. A span found that way is added beside the
+base spans unless it lies inside one or begins within one: where a look-alike letter ends a plain
+match early or begins it late, the longer span is the identifier.
 
 Defined results: a null or empty text has no spans; ends are exclusive; spans are in order
 of start, then kind as in ``KINDS``; matches that fail a check (an address part over 255, a
@@ -16,8 +17,10 @@ linear in the text, also on very long runs of digits or letters.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from itertools import accumulate
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -82,12 +85,26 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 # Letters of other alphabets that look like Latin ones.
 _GLYPHS = dict(zip("АВЕЅІЈКМНОРСТХаесіјорѕухԁɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονι",
                    "ABESIJKMHOPCTXaecijopsyxdgABEZHIKMNOPTYXaovi"))
+_GLYPHS |= {"һ": "h", "Ү": "Y", "ո": "n", "օ": "o", "ս": "u", "ց": "g", "ı": "i", "ɑ": "a"}
 _GLYPHS |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width forms
-_GLYPHS |= {chr(0x1D7CE + i): chr(48 + i % 10) for i in range(50)}  # mathematical digits
-_GLYPHS |= {chr(0x0660 + i): chr(48 + i) for i in range(10)}  # Arabic-Indic digits
+
+
+def _compatible() -> dict[str, str]:
+    """Letters and digits that Unicode itself calls forms of an ASCII one, and all decimal digits."""
+    found = {}
+    for code in range(0x80, 0x20000):
+        char = chr(code)
+        digit = unicodedata.decimal(char, None)
+        plain = unicodedata.normalize("NFKC", char) if digit is None else str(digit)
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            found[char] = plain
+    return found
+
+
+_GLYPHS |= _compatible()
 _GLYPHS |= dict.fromkeys("­​‌‍⁠﻿", "")  # invisible
 _GLYPHS |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "\u00a0": " ", "\u202f": " "}
-_GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
+_GLYPH = re.compile("[" + "".join(map(re.escape, sorted(_GLYPHS))) + "]")
 
 # Digits in English, German, French and Spanish, without articles.
 _NUMBERS = {
@@ -101,12 +118,22 @@ _NUMBERS = {
     "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NUMBER = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
+_DOTS = "(?:dot|punkt|punto|point)"
+_TIMES = {"": 1, "double": 2, "triple": 3}
 _SPELLED = re.compile(
-    rf"(?<!\w)(?:plus[ -]+)?(?:{_NUMBER}|[0-9]++)(?:[ .()-]+(?:{_NUMBER}|[0-9]++))*(?!\w)", re.I)
+    rf"(?<!\w)(?:plus[ -]+)?(?:(?:(?:double|triple)[ -]+)?{_NUMBER}|[0-9]++)"
+    rf"(?:(?: +{_DOTS} +|[ .(),-]+)(?:(?:(?:double|triple)[ -]+)?{_NUMBER}|[0-9]++))*(?!\w)", re.I)
 #: The least digits that a detector wants of a number with few words in it.
 LEAST_DIGITS = 10
 _MARKS = str.maketrans(dict.fromkeys("-.()+,;:!?", " "))
-_SPELLED_PART = re.compile(rf"(?<!\w)(?:(plus)[ -]+|({_NUMBER})(?!\w))", re.I)
+_TOKEN = re.compile(
+    rf"(?P<plus>plus[ -]+)|(?:(?P<times>double|triple)[ -]+)?(?P<number>{_NUMBER})(?!\w)"
+    rf"|[0-9]+| +{_DOTS} +|(?P<between>[ .(),-]+)", re.I)
+# Letters that stand for digits among digits.
+_FOR_DIGITS = {"l": "1", "I": "1", "O": "0", "o": "0"}
+_MIXED = re.compile(r"[0-9][lIOo](?![A-Za-z])|(?<![A-Za-z])[lIOo][0-9]")
+_MIXED_RUN = re.compile(r"(?<![\w+])\+?[0-9lIOo][0-9lIOo .()-]{8,}[0-9lIOo](?!\w)")
+_AMONG_DIGITS = re.compile(r"(?<=[0-9])[lIOo]+(?![A-Za-z])|(?<![A-Za-z])[lIOo]+(?=[0-9])")
 # At and dot in brackets, with spaces around.
 _AT = r"(?:at|arroba|ät|@)"
 _DOT = r"(?:dot|punkt|punto|point|\.)"
@@ -116,13 +143,18 @@ _BRACKETED = re.compile(
     rf"|( {{0,3}}(?:\[ {{0,3}}{_DOT} {{0,3}}\]|\( {{0,3}}{_DOT} {{0,3}}\)|\{{ {{0,3}}{_DOT} {{0,3}}\}}"
     rf"|< {{0,3}}{_DOT} {{0,3}}>) {{0,3}})", re.I)
 # In words only as a whole: name at host dot domain, or numbers with dots between.
+_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "uk")
+_ENDED = tuple(f".{ending}" for ending in _ENDINGS)
+_DOTTED = rf"(?:[A-Za-z0-9-]+\.){{1,6}}(?:{'|'.join(_ENDINGS)})(?![A-Za-z0-9-])"
 _WORDY = re.compile(
-    rf"(?<=[A-Za-z0-9_%+-]) {{1,3}}(?:at|arroba) {{1,3}}(?=[A-Za-z0-9-]+ {{1,3}}{_DOT} {{1,3}}[A-Za-z])"
+    rf"(?<=[A-Za-z0-9_%+-]) {{1,3}}(?:at|arroba) {{1,3}}"
+    rf"(?=[A-Za-z0-9-]+ {{1,3}}{_DOT} {{1,3}}[A-Za-z]|{_DOTTED})"
     rf"|((?<=[A-Za-z0-9_-]) {{1,3}}(?:dot|punkt|punto|point) {{1,3}}(?=[A-Za-z0-9]))", re.I)
 _WORDY_ADDRESS = re.compile(
     r"[A-Za-z0-9_%+-] {1,3}(?:at|arroba) {1,3}[A-Za-z0-9-]+ {1,3}(?:dot|punkt|punto|point) "
     r"|@[A-Za-z0-9-]+ {1,3}(?:dot|punkt|punto|point) "
-    r"|[0-9] {1,3}(?:dot|punkt|punto|point) {1,3}[0-9]", re.I)
+    r"|[0-9] {1,3}(?:dot|punkt|punto|point) {1,3}[0-9]"
+    rf"|[A-Za-z0-9_%+-] {{1,3}}(?:at|arroba) {{1,3}}{_DOTTED}", re.I)
 _DOT_WORDS = frozenset(("dot", "punkt", "punto", "point"))
 _ANY_BRACKETED = re.compile(rf"[\[({{<] {{0,3}}(?:{_AT}|{_DOT}) {{0,3}}[\])}}>]", re.I)
 
@@ -140,13 +172,14 @@ class Rewritten:
         return Rewritten(text, list(range(len(text))), list(range(1, len(text) + 1)))
 
     def replace(self, pattern: re.Pattern, by) -> Rewritten:
-        """Replace each match by at most a few characters, each standing for the whole match."""
+        """Replace each match that ``by`` gives a text for."""
+        return self.edited(
+            (*m.span(), new) for m in pattern.finditer(self.text) if (new := by(m)) is not None)
+
+    def edited(self, edits: Iterable[tuple[int, int, str]]) -> Rewritten:
+        """Replace stretches, in order, by a few characters, each standing for the whole stretch."""
         parts, starts, ends, done = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = by(m)
-            if new is None:
-                continue
-            a, b = m.span()
+        for a, b, new in edits:
             parts += (self.text[done:a], new)
             starts += self.starts[done:a]
             ends += self.ends[done:a]
@@ -161,25 +194,35 @@ class Rewritten:
 
 
 def _spelled(run: Rewritten) -> Rewritten:
-    inside = []
+    """Spelled digits as digits; what separates two of them goes, commas become spaces."""
+    edits = []
     for m in _SPELLED.finditer(run.text):
-        parts = _SPELLED_PART.findall(m[0])
-        if len(parts) >= 3 or parts and len(_digits(m[0])) + sum(
-                bool(number) for _, number in parts) >= LEAST_DIGITS:
-            inside.append(m.span())
-    if not inside:
-        return run
-    at = 0
-
-    def digit(m: re.Match) -> str | None:
-        nonlocal at
-        while at < len(inside) and inside[at][1] <= m.start():
-            at += 1
-        if at == len(inside) or not inside[at][0] <= m.start() < inside[at][1]:
-            return None
-        return "+" if m[1] else _NUMBERS[m[2].lower()]
-
-    return run.replace(_SPELLED_PART, digit)
+        tokens = list(_TOKEN.finditer(run.text, *m.span()))
+        numbers = sum(bool(t["number"]) for t in tokens)
+        if numbers + sum(bool(t["plus"]) for t in tokens) < 3 and not (
+                numbers and len(_digits(m[0])) + numbers >= LEAST_DIGITS):
+            continue
+        for before, t, after in zip([None, *tokens], tokens, [*tokens[1:], None]):
+            if t["plus"]:
+                edits.append((*t.span(), "+"))
+            elif t["number"]:
+                times = _TIMES[(t["times"] or "").lower()]
+                edits.append((*t.span(), _NUMBERS[t["number"].lower()] * times))
+            elif between := t["between"]:
+                spelled = before and before["number"] and after and after["number"]
+                if spelled and not set(between) & set(".()"):
+                    edits.append((*t.span(), ""))
+                elif "," in between:
+                    edits.append((*t.span(), " "))
+    return run.edited(edits)
+
+
+def _mixed(run: Rewritten) -> Rewritten:
+    """Letters among the digits of a long number as digits."""
+    return run.edited(
+        (m.start() + x.start(), m.start() + x.end(), "".join(map(_FOR_DIGITS.get, x[0])))
+        for m in _MIXED_RUN.finditer(run.text) if len(_digits(m[0])) >= LEAST_DIGITS - 4
+        for x in _AMONG_DIGITS.finditer(m[0]))
 
 
 def _may_be_spelled(words: list[str]) -> bool:
@@ -196,7 +239,7 @@ def _may_be_spelled(words: list[str]) -> bool:
             spelled, digits = spelled + 1, digits + 1
         elif word.isdecimal():
             digits += len(word)
-        elif word != "plus":
+        elif word not in ("plus", "double", "triple"):
             spelled = digits = 0
         if spelled and digits >= LEAST_DIGITS:
             return True
@@ -209,14 +252,18 @@ def rewritten(text: str) -> Rewritten | None:
     words = text.lower() if glyphs is None else _GLYPH.sub(lambda m: _GLYPHS[m[0]], text).lower()
     words = words.translate(_MARKS).split()
     numbers = not _NUMBERS.keys().isdisjoint(words) and _may_be_spelled(words)
-    dots = not _DOT_WORDS.isdisjoint(words)
-    if not (glyphs or numbers or dots or _ANY_BRACKETED.search(text)):
+    dots = not _DOT_WORDS.isdisjoint(words) or (
+        " at " in text or " arroba " in text) and any(ending in text for ending in _ENDED)
+    mixed = _MIXED.search(text) or glyphs
+    if not (glyphs or numbers or dots or mixed or _ANY_BRACKETED.search(text)):
         return None
     out = Rewritten.of(text)
     if glyphs:
         out = out.replace(_GLYPH, lambda m: _GLYPHS[m[0]])
     if numbers:
         out = _spelled(out)
+    if mixed:
+        out = _mixed(out)
     out = out.replace(_BRACKETED, lambda m: "." if m[1] else "@")
     if _WORDY_ADDRESS.search(out.text):
         out = out.replace(_WORDY, lambda m: "." if m[1] else "@")
@@ -230,27 +277,21 @@ def all_spans(text: str | None) -> list[tuple[int, int, int, bool]]:
     base = plain_spans(text)
     found = [(start, kind, end, True) for start, kind, end in base]
     if (changed := rewritten(text)) is not None:
-        covered = _union(base)
-        begins = [start for start, _ in covered]
+        plain = [(start, end) for start, _, end in base]
+        begins = [start for start, _ in plain]
+        # How far the base spans that begin up to each one reach, and where the next begins.
+        reach = list(accumulate((end for _, end in plain), max))
         for start, kind, end in plain_spans(changed.text):
             a, b = changed.starts[start], changed.ends[end - 1]
             i = bisect_right(begins, a)
-            before = i and covered[i - 1][1] > a
-            if not before and (i == len(covered) or begins[i] >= b):
-                found.append((a, kind, b, False))
+            if i and reach[i - 1] >= b:
+                continue  # inside a base span: the text already says as much
+            if i and reach[i - 1] > a and begins[i - 1] != a:
+                continue  # it begins within a base span and goes on: two identifiers run into one
+            found.append((a, kind, b, False))
     return sorted(set(found))
 
 
-def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    joined: list[tuple[int, int]] = []
-    for start, _, end in spans:
-        if joined and start < joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
-        else:
-            joined.append((start, end))
-    return joined
-
-
 def detect(documents: DataFrame, *, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """All columns of ``documents`` with the spans of personal data; that column is replaced."""
     before = documents.drop(spans_col)
