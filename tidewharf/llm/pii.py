@@ -104,7 +104,8 @@ def _compatible() -> dict[str, str]:
 _GLYPHS |= _compatible()
 _GLYPHS |= dict.fromkeys("­​‌‍⁠﻿", "")  # invisible
 _GLYPHS |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "\u00a0": " ", "\u202f": " "}
-_GLYPH = re.compile("[" + "".join(map(re.escape, sorted(_GLYPHS))) + "]")
+_GLYPH_SET = frozenset(_GLYPHS)
+_GLYPH_TABLE = str.maketrans(_GLYPHS)
 
 # Digits in English, German, French and Spanish, without articles.
 _NUMBERS = {
@@ -131,6 +132,7 @@ _TOKEN = re.compile(
     rf"|[0-9]+| +{_DOTS} +|(?P<between>[ .(),-]+)", re.I)
 # Letters that stand for digits among digits.
 _FOR_DIGITS = {"l": "1", "I": "1", "O": "0", "o": "0"}
+_DIGIT = re.compile("[0-9]")
 _MIXED = re.compile(r"[0-9][lIOo](?![A-Za-z])|(?<![A-Za-z])[lIOo][0-9]")
 _MIXED_RUN = re.compile(r"(?<![\w+])\+?[0-9lIOo][0-9lIOo .()-]{8,}[0-9lIOo](?!\w)")
 _AMONG_DIGITS = re.compile(r"(?<=[0-9])[lIOo]+(?![A-Za-z])|(?<![A-Za-z])[lIOo]+(?=[0-9])")
@@ -248,18 +250,17 @@ def _may_be_spelled(words: list[str]) -> bool:
 
 def rewritten(text: str) -> Rewritten | None:
     """The text after all transducers; None if none of them has anything to change."""
-    glyphs = None if text.isascii() else _GLYPH.search(text)
-    words = text.lower() if glyphs is None else _GLYPH.sub(lambda m: _GLYPHS[m[0]], text).lower()
-    words = words.translate(_MARKS).split()
+    glyphs = not text.isascii() and not _GLYPH_SET.isdisjoint(text)
+    words = (text.translate(_GLYPH_TABLE) if glyphs else text).lower().translate(_MARKS).split()
     numbers = not _NUMBERS.keys().isdisjoint(words) and _may_be_spelled(words)
     dots = not _DOT_WORDS.isdisjoint(words) or (
         " at " in text or " arroba " in text) and any(ending in text for ending in _ENDED)
-    mixed = _MIXED.search(text) or glyphs
+    mixed = glyphs or _DIGIT.search(text) and _MIXED.search(text)
     if not (glyphs or numbers or dots or mixed or _ANY_BRACKETED.search(text)):
         return None
     out = Rewritten.of(text)
     if glyphs:
-        out = out.replace(_GLYPH, lambda m: _GLYPHS[m[0]])
+        out = out.edited((i, i + 1, _GLYPHS[c]) for i, c in enumerate(text) if c in _GLYPH_SET)
     if numbers:
         out = _spelled(out)
     if mixed:
