@@ -251,6 +251,18 @@ class Matcher:
             vector = self.vector(words_of(text))
             self.templates.append((name, vector, math.sqrt(sum(x * x for x in vector.values()))))
         self.known = frozenset(self.weight)
+        # By Cauchy and Schwarz a cosine is at most the share of the template's length in common words.
+        # Without a template's rarest words the rest of it is too short; so a section, and a text,
+        # that holds no such word of any template is near none.
+        telling = set()
+        for _, vector, size in self.templates:
+            rest = size * size
+            for word in sorted(vector, key=lambda w: (-self.weight[w], w)):
+                if rest < MIN_COSINE ** 2 * size * size * (1 - 1e-9):
+                    break
+                telling.add(word)
+                rest -= vector[word] ** 2
+        self.telling = frozenset(telling)
 
     def vector(self, words: list[str]) -> dict[str, float]:
         return {w: n * self.weight.get(w, self.rare) for w, n in Counter(words).items()}
@@ -258,7 +270,12 @@ class Matcher:
     def best(self, text: str) -> tuple[float, str | None]:
         """The highest cosine of a section that speaks for a license, and that license."""
         best = (0.0, None)
+        lower = text.lower()
+        if not any(word in lower for word in self.telling) or self.telling.isdisjoint(words_of(text)):
+            return best
         for words in sections(text):
+            if self.telling.isdisjoint(words):
+                continue
             distinct = set(words)
             shared = distinct & self.known
             if not shared:
