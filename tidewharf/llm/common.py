@@ -36,10 +36,13 @@ def saved(df: DataFrame, purpose: str, options: dict[str, str] | None = None) ->
 
 def discard(table: DataFrame) -> None:
     """Delete a table of ``saved``, or what was made of one, once nothing reads it any more."""
-    spark = table.sparkSession
     for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete(table.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

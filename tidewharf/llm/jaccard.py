@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewharf.llm.common import discard, lean, raw_bytes, release, saved
+from tidewharf.llm.common import delete, discard, lean, raw_bytes, release, saved
 from tidewharf.llm.components import components
+from tidewharf.session import scratch_dir
 
 SHINGLE = 5
 #: A similarity of 4/5 as a fraction: 5 * intersection >= 4 * union.
@@ -48,6 +49,8 @@ LEAST_FREQUENT = 32
 FREQUENT_BITS = 22
 #: Rounds with one partner each before groups are opened.
 ROUNDS = 2
+#: Parts, by token, that prefixes are matched in, so that only one part's rows are shuffled at a time.
+PARTS = 4
 #: Bits of the filter that keeps texts without a partner out of the comparison's shuffle.
 FILTER_BITS = 26
 
@@ -276,17 +279,7 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         release(documents.sparkSession)
         return result
 
-    prefixes = saved(_prefixes(source, seed, size, frequent), "prefixes")
-    # Of two documents that share a token, neither matters if their sizes are too far apart.
-    shared = prefixes.groupBy("token").agg(
-        F.min("vertex").alias("least"), F.max("vertex").alias("last"), F.count("*").alias("c"),
-        F.min("shape").alias("small"), F.max("shape").alias("large"),
-    ).where("least < last and (c > 2 or shiftright(large, 24) * 4 <= shiftright(small, 24) * 5)")
-    used.append(prefixes)
-    entries = done(prefixes.join(shared.select("token"), "token").select(
-        "token", "vertex", F.shiftright("shape", 24).cast("int").alias("n"),
-        F.shiftright("shape", 8).bitwiseAND(0xFFFF).cast("int").alias("rank"),
-        F.col("shape").bitwiseAND(0xFF).cast("int").alias("rare")).distinct(), "entries")
+    entries = _shared(_prefixes(source, seed, size, frequent))
 
     grouped = entries.withColumn("group", F.col("vertex"))
     links = None
@@ -318,6 +311,31 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("least_id", F.when(F.col("root").isNull(), F.col("id"))).alias("component"))
 
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """token, vertex, n, rank, rare of the tokens that documents of near sizes share."""
+    spark = prefixes.sparkSession
+    path = scratch_dir(spark, "prefixes")
+    part = F.col("token").bitwiseAND(F.lit(PARTS - 1)).cast("int")
+    prefixes.withColumn("part", part).write.partitionBy("part").option("compression", "zstd").parquet(path)
+    every = spark.read.schema("token bigint, vertex bigint, shape bigint, part int").parquet(path)
+    entries = None
+    for number in range(PARTS):
+        rows = every.where(F.col("part") == number).drop("part")
+        # Of two documents that share a token, neither matters if their sizes are too far apart.
+        shared = rows.groupBy("token").agg(
+            F.min("vertex").alias("least"), F.max("vertex").alias("last"), F.count("*").alias("c"),
+            F.min("shape").alias("small"), F.max("shape").alias("large"),
+        ).where("least < last and (c > 2 or shiftright(large, 24) * 4 <= shiftright(small, 24) * 5)")
+        found = saved(rows.join(shared.select("token"), "token").select(
+            "token", "vertex", F.shiftright("shape", 24).cast("int").alias("n"),
+            F.shiftright("shape", 8).bitwiseAND(0xFFFF).cast("int").alias("rank"),
+            F.col("shape").bitwiseAND(0xFF).cast("int").alias("rare")).distinct(), "entries")
+        entries = found if entries is None else entries.unionAll(found)
+        delete(spark, f"{path}/part={number}")
+        release(spark)
+    return entries
+
+
 def _regrouped(grouped: DataFrame, links: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Every document that has just been linked joins its partner's group.
 
