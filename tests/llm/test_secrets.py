@@ -4,7 +4,6 @@ import re
 import time
 from collections import defaultdict
 
-from compare import connect, differences
 from conftest_paths import SF_DIR
 from pyspark.sql import functions as F
 from tidewharf.llm import secrets
@@ -95,10 +94,6 @@ def test_added_kinds_keep_base_spans(spark):
                    "url": "https://me:hunter2pass@", "provider": "xoxb-123456789012-abc"}
 
 
-def test_query_as_oracle(spark):
-    assert differences(connect(SF_DIR), op11_secrets(spark, SF_DIR), secrets.ORACLE_SQL) == []
-
-
 def test_native(spark):
     plan = op11_secrets(spark, SF_DIR)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

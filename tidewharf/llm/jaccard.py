@@ -399,3 +399,30 @@ def _between_groups(grouped: DataFrame, used: list[DataFrame]) -> DataFrame:
     return opened.join(members, "group").where(
         _room(c, n, F.col("m")) & (F.col("m") * 4 <= F.col("reach"))).select(
         F.col("vertex").alias("a"), "b").distinct()
+
+
+ORACLE_SQL = """
+with recursive words as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_sort(list_distinct(list_transform(range(1, len(w) - 3),
+              lambda i: array_to_string(w[i:i + 4], ' ')))) end as s
+  from words),
+docs as materialized (select doc_id, len(s) as n, md5(array_to_string(s, chr(10))) as key, s from sets),
+classes as materialized (
+  select key, any_value(s) as s, any_value(n) as n, min(doc_id) as least from docs where n > 0 group by key),
+tokens as materialized (select key, n, unnest(s) as token from classes),
+edges as materialized (
+  select a.key as a, b.key as b from tokens a join tokens b on a.token = b.token and a.key <> b.key
+  group by a.key, b.key, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) as (
+  select key, key from classes
+  union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+components as (
+  select reach.a as key, min(c.least) as component_id from reach join classes c on c.key = reach.b group by reach.a)
+select d.doc_id, d.n as n_shingles, coalesce(c.component_id, d.doc_id) as component_id
+from docs d left join components c on d.n > 0 and c.key = d.key
+"""

@@ -18,8 +18,8 @@ Later progressions start more than m / 2 words on each, so at most three lie wit
 These proposals meet every run: let m be at least q / 2 and s its first word. The factor at s
 stands again at s + q, in the same progression only if q is its step. Otherwise, if the
 first progression starts before s, the second starts at s + q (the run would reach
-further left if not); else the progressions end q apart or, if the run ends first, its first q words repeat nothing shorter
-and the second starts at s + q as well.
+further left if not); else the progressions end q apart or, if the run ends first, its first q
+words repeat nothing shorter and the second starts at s + q as well.
 
 Proposals that go on from the word before are one run and kept once. Each is extended to both
 sides by the dictionary, longest factors first, and of equal stretches the smallest
@@ -248,3 +248,50 @@ def _back(level: np.ndarray, start: np.ndarray, period: np.ndarray, m: int) -> n
     own = np.where(before >= 0, level[np.maximum(before, 0)], -1)
     other = level[np.maximum(before, 0) + period]
     return np.where((own >= 0) & (own == other), before, start)
+
+
+#: The registered query over echoed documents; CRC-32 bit by bit, runs as islands of equal stretches of four words.
+ORACLE_SQL = r"""
+with hashed as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint),
+           lambda c, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::bigint[],
+             lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, byte)),
+           4294967295::bigint), 4294967295::bigint) as h
+  from documents),
+planned as (
+  select *, h // 10 as g, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from hashed),
+echoed as materialized (
+  select row_number() over () as row, doc_id, case when a is null then w else list_transform(range(len(w)),
+         lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) end as w
+  from (select *, 1 + (len(w) - a) // (3 + g % 8) as p from planned)),
+fours as materialized (
+  select row, pos, len(w) as n, array_to_string(w[pos + 1:pos + 4], ' ') as four
+  from (select row, w, unnest(range(len(w) - 3)) as pos from echoed)),
+again as (
+  select x.row, x.pos, y.pos - x.pos as q from fours x join fours y
+  on x.row = y.row and x.four = y.four and y.pos > x.pos and 2 * (y.pos - x.pos) <= x.n),
+islands as (
+  select row, q, pos, pos - row_number() over (partition by row, q order by pos) as island from again),
+stretches as (
+  select row, q, min(pos) as start, count(*) + 3 + q as length from islands group by row, q, island),
+runs as materialized (
+  select row, start, length, min(q) as period from stretches where length >= greatest(12, 2 * q)
+  group by row, start, length),
+summed as (
+  select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), ''
+           order by start, period) as listed,
+         list({'start': start, 'length': length, 'period': period} order by length desc, start, period)[1] as top
+  from runs group by row),
+places as (
+  select distinct row, unnest(range(start + period, start + length)) as pos from runs),
+kept as (
+  select e.row, array_to_string(list(e.word order by e.pos), ' ') as collapsed
+  from (select row, unnest(w) as word, unnest(range(len(w))) as pos from echoed) e
+  anti join places p on e.row = p.row and e.pos = p.pos group by e.row)
+select e.doc_id, coalesce(n_runs, 0) as n_runs, top.start::bigint as start, top.length::bigint as length,
+       top.period::bigint as period, (1000 * top.length // top.period)::bigint as exponent_milli,
+       sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256,
+       len(w)::bigint as n_words
+from echoed e left join summed using (row) left join kept using (row)
+"""

@@ -190,7 +190,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_jaccard_join": jaccard.ORACLE_SQL,
     "op6_line_dedup": lines.ORACLE_SQL,
     "op11_secrets": secrets.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
+    "op13_periodic_runs": periods.ORACLE_SQL,
 }
