@@ -119,18 +119,20 @@ def boilerplate(documents, min_sites, min_contexts):
             sites[line].add(source)
     spread = {line for line in sites if len(sites[line]) >= min_sites}
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    held = defaultdict(int)
     for text, lines in texts.items():
         wide = sorted(lines & spread, key=md5)
-        context = (wide[0], wide[-1]) if wide and 9 * len(wide) >= 8 * len(lines) else frozenset(lines - spread)
+        pairs = []
+        for line in lines - spread:
+            words = re.findall(r"[^ \t\r]+", line)
+            pairs += [md5(" ".join(words[i:i + 2])) for i in range(max(1, len(words) - 1))]
+        alike = 9 * len(wide) >= 8 * len(lines)
         for line in wide:
-            contexts[line].add(("text", text))
-            contexts[line].add(("context", context))
-    found = set()
-    for line, seen in contexts.items():
-        n = sum(kind == "context" for kind, _ in seen)
-        if n >= min_contexts and 2 * n >= len(seen) - n:
-            found.add(line)
-    return found
+            held[line] += 1
+            for at in (1, 6, 11, 16):
+                contexts[line, at].add((wide[0], wide[-1]) if alike else min(p[at - 1:at + 15] for p in pairs))
+    most = {line: max(len(contexts[line, at]) for at in (1, 6, 11, 16)) for line in held}
+    return {line for line, n in most.items() if n >= min_contexts and 2 * n >= held[line]}
 
 
 def without_lines(text, lines):

@@ -96,6 +96,18 @@ def test_edited_copies_do_not_make_boilerplate(spark):
     assert set(removed(spark, docs).values()) == {0}
 
 
+def test_edited_copies_of_a_text_of_few_lines(spark):
+    """One word of one of three lines is another in every copy; what is common is no boilerplate."""
+    rng = random.Random(8)
+    page = [[f"w{rng.randrange(500)}" for _ in range(40)] for _ in range(3)]
+    docs = []
+    for i in range(300):
+        copy = [list(line) for line in page]
+        copy[rng.randrange(3)][rng.randrange(40)] = f"edit{i}"
+        docs.append((i, "\n".join(map(" ".join, copy)), f"s{i % 20}"))
+    assert set(removed(spark, docs).values()) == {0}
+
+
 def test_names_that_were_used_inside(spark):
     df = spark.createDataFrame([(i, f"everywhere\nown {i}", f"s{i}", f"k{i}", i, {"a": i}) for i in range(30)],
                                "doc_id long, text string, source string, __key string, __drop int, row map<string,int>")

@@ -4,16 +4,20 @@ A line is spread if it stands on at least ``min_sites`` sites. Spread lines are
 stand in at least ``min_contexts`` different contexts and in at least half as many contexts as
 different texts. The context of a line is what else its text holds: the other lines that are
 not spread. So the lines of a template are told by the pages they are in, not by each other.
-Where spread lines are all but a ninth of a text's lines, two such texts would be near copies of
-similarity 0.8 or more; then the context is the least and greatest of the spread lines, which
-copies and edited copies share. So neither makes the lines of its text boilerplate, and copies do
-not count as texts.
+
+Edited copies of a text share most lines too, and differ in the edited ones; but those are
+nearly the same. So a context is not these lines as such: it is the least of the pairs of
+neighbouring words in them, by hash, which an edit in the line mostly leaves. There are ``HASHES`` hashes,
+and a line's contexts are the most that any of them tells apart, as one alone may be least
+for a pair that many pages hold. Where spread lines are all but a ninth of a text's lines, two such texts
+would be near copies of similarity 0.8 or more; then the context is the least and greatest of the spread
+lines. So neither copies nor edited copies make the lines of their text boilerplate, and copies do not
+count as texts.
 
 Sites and contexts are counted by HyperLogLog sketches per line, which aggregation merges.
 Lines whose estimates are within a quarter of a threshold get exact distinct counts. With
 2**12 registers the standard error is 1.6 %, so what lies outside of that band is at least
-12 standard errors away; the sketches of few values are nearly exact. Contexts are compared by
-128 bits that do not depend on the order of lines.
+12 standard errors away; the sketches of few values are nearly exact.
 
 Defined results: lines are compared without spaces, tabs and carriage returns around them;
 empty lines are no lines and stay; a null text stays null and an empty one empty; a text of
@@ -27,11 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewharf.llm.common import saved
+from tidewharf.llm.common import let, saved
 
 MIN_SITES = 5
 MIN_CONTEXTS = 10
 LG_REGISTERS = 12
+#: Where in the MD5 of a pair of words each hash of 16 digits begins.
+HASHES = (1, 6, 11, 16)
 
 
 def _bare(line: Column) -> Column:
@@ -79,38 +85,42 @@ def spread_lines(
         exact.where(enough).select("line")), "spread")
 
 
-def _xor(keys: Column, salt: int) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda sum_, key: sum_.bitwiseXOR(
-        F.xxhash64(key, F.lit(salt))))
-
-
 def _spread_in_texts(documents: DataFrame, text_col: str, spread: DataFrame) -> DataFrame:
-    """``text_key, spread, context``: a row for every different text with spread lines."""
+    """``text_key, spread, contexts``: a row for every different text with spread lines."""
     text = F.col(text_col)
-    keys = documents.select(F.md5(text).alias("text_key"), _distinct_keys(text).alias("keys"))
-    # Summed up before the lines are rows, not once for each of them.
-    summed = keys.select("text_key", "keys", F.size("keys").alias("size"),
-                         _xor(F.col("keys"), 0).alias("all0"), _xor(F.col("keys"), 1).alias("all1"))
-    marked = summed.select("text_key", "size", "all0", "all1", F.explode("keys").alias("line"))
-    texts = marked.join(spread, "line").groupBy("text_key").agg(
-        F.first("size").alias("size"), F.first("all0").alias("all0"), F.first("all1").alias("all1"),
-        F.collect_set("line").alias("spread"))
-    own = [F.col(f"all{i}").bitwiseXOR(_xor(F.col("spread"), i)).cast("string") for i in (0, 1)]
-    return texts.select("text_key", "spread", F.when(
-        F.size("spread") * 9 >= F.col("size") * 8,
-        F.concat(F.lit("s"), F.array_min("spread"), F.array_max("spread")),
-    ).otherwise(F.concat_ws(",", F.lit("o"), *own)).alias("context"))
+    keyed = documents.select(F.md5(text).alias("text_key"), text.alias("text"))
+    lines = keyed.select("text_key", F.explode(_distinct_keys(F.col("text"))).alias("line"))
+    # A line's text once in a task; copies have the same spread lines.
+    held = saved(lines.join(spread, "line").groupBy("text_key").agg(
+        F.collect_set("line").alias("spread")), "held")
+    own = F.filter(_lines(F.col("text")), lambda line: (_bare(line) != "") & ~F.array_contains(
+        F.col("spread"), F.md5(_bare(line))))
+    pairs = F.flatten(F.transform(own, lambda line: let(
+        F.filter(F.split(line, r"[ \t\r]+", -1), lambda w: w != ""), lambda words: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
+            lambda i: F.md5(F.array_join(F.slice(words, i, 2), " "))))))
+    found = keyed.join(held, "text_key").select(
+        "text_key", "spread", F.size(_distinct_keys(F.col("text"))).alias("size"), pairs.alias("pairs"))
+    ends = F.concat(F.lit("s"), F.array_min("spread"), F.array_max("spread"))
+    alike = F.size("spread") * 9 >= F.col("size") * 8
+    return found.groupBy("text_key").agg(F.first("spread").alias("spread"), *[
+        F.min(F.when(alike, ends).otherwise(F.array_min(F.transform(
+            "pairs", lambda pair: F.substring(pair, at, 16))))).alias(f"context{at}") for at in HASHES])
 
 
 def _boilerplate(texts: DataFrame, min_contexts: int) -> DataFrame:
     """``line``: those of the spread lines that are in enough contexts."""
-    held = texts.select("context", F.explode("spread").alias("line"))
+    names = [f"context{at}" for at in HASHES]
+    held = texts.select(*names, F.explode("spread").alias("line"))
     counts = saved(held.groupBy("line").agg(
-        F.count("*").alias("n"), _estimate("context").alias("contexts")), "contexts")
+        F.count("*").alias("n"), F.greatest(*map(_estimate, names)).alias("contexts")), "contexts")
     need = F.greatest(F.lit(float(min_contexts)), F.col("n") / 2)
     unsure = _near(F.col("contexts"), need)
-    exact = held.join(counts.where(unsure).select("line"), "line", "left_semi").groupBy("line").agg(
-        F.count("*").alias("n"), F.count_distinct("context").alias("contexts"))
+    close = held.join(counts.where(unsure).select("line"), "line", "left_semi")
+    exact = close.select("line", F.explode(F.array(*[F.struct(
+        F.lit(at).alias("at"), F.col(f"context{at}").alias("context")) for at in HASHES])).alias("c")).groupBy(
+        "line", "c.at").agg(F.count("*").alias("n"), F.count_distinct("c.context").alias("contexts")).groupBy(
+        "line").agg(F.max("n").alias("n"), F.max("contexts").alias("contexts"))
     enough = F.col("contexts") >= need
     return saved(counts.where(~unsure & enough).select("line").unionAll(
         exact.where(enough).select("line")), "boilerplate")
@@ -164,16 +174,24 @@ keyed as (select *, trim(line, ' ' || chr(9) || chr(13)) as bare from parts),
 held as materialized (select distinct text, source, md5(bare) as h from keyed where bare <> ''),
 spread as (select h from held group by h having count(distinct coalesce('=' || source, '')) >= {MIN_SITES}),
 in_text as (select distinct text, h, h in (select h from spread) as is_spread from held),
-texts as (
-  select text, count(*) as n, list_sort(list(h) filter (is_spread)) as s,
-         array_to_string(list_sort(list(h) filter (not is_spread)), ',') as own
+texts as materialized (
+  select text, count(*) as n, list_sort(list(h) filter (is_spread)) as s
   from in_text group by text having bool_or(is_spread)),
+own as (
+  select k.text, regexp_extract_all(k.bare, '[^ \\t\\r]+') as w from (select distinct text, bare from keyed) k
+  join in_text i on k.bare <> '' and i.text = k.text and i.h = md5(k.bare) and not i.is_spread),
+pairs as (
+  select text, md5(array_to_string(w[i:i + 1], ' ')) as pair
+  from (select text, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as i from own)),
+least as (
+  select text, {", ".join(f"min(substr(pair, {at}, 16)) as c{at}" for at in HASHES)} from pairs group by text),
 contexts as (
-  select text, unnest(s) as h,
-         case when 9 * len(s) >= 8 * n then 's' || s[1] || s[-1] else 'o' || coalesce(own, '') end as context
-  from texts),
+  select text, h, {", ".join(
+    f"case when 9 * len(s) >= 8 * n then 's' || s[1] || s[-1] else c{at} end as c{at}" for at in HASHES)}
+  from (select *, unnest(s) as h from texts) left join least using (text)),
 bad as (select h from contexts group by h
-        having count(distinct context) >= {MIN_CONTEXTS} and 2 * count(distinct context) >= count(*)),
+        having greatest({", ".join(f"count(distinct c{at})" for at in HASHES)}) >= {MIN_CONTEXTS}
+        and 2 * greatest({", ".join(f"count(distinct c{at})" for at in HASHES)}) >= count(*)),
 marked as (select k.*, b.h is not null as dropped from keyed k
            left join bad b on k.bare <> '' and md5(k.bare) = b.h),
 done as (
