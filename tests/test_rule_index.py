@@ -61,3 +61,14 @@ def test_a_hundred_thousand_rules(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert got.where(F.expr("tag <> IF(id % 4 = 0, 'none', concat('t', id * 31))")).count() == 0
+
+
+def test_no_rule_is_looked_for_after_the_first_found(spark):
+    texts = ["one two three", "two", None, "", "three", "three", "on", "xyz"]
+    rules = [(3, "three", "c"), (1, "two ", "a"), (2, "tw", "b"), (9, "o", "d"), (4, "zzzz", "e")]
+    assert tagged(spark, texts, rules) == brute(texts, rules, "none")
+    every = rules + [(5, "", "any")]
+    assert tagged(spark, texts, every) == brute(texts, every, "none")
+    df = spark.createDataFrame([("one two",)], "t string")
+    plan = tag_rows(df, "t", spark.createDataFrame(rules, RULES), "none")._jdf.queryExecution().toString()
+    assert "aggregate(array_sort(" in plan and "filter(rules" not in plan

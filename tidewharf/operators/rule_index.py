@@ -92,8 +92,11 @@ def tag_by_table(
     else:
         keyed = keyed.withColumn("rules", F.lit(None).cast(
             "array<struct<priority:bigint,pattern:string,tag:string>>"))
-    found = F.transform(
-        F.filter("rules", lambda rule: F.contains(F.col("text"), rule["pattern"])),
-        lambda rule: F.struct(rule["priority"].alias("priority"), rule["tag"].alias("tag")))
-    first = F.array_min(F.array_compact(F.concat(F.coalesce(found, F.array()), F.array(always))))
+    # In order of the priority, so that after the first rule found no other is looked for.
+    found = F.aggregate(
+        F.array_sort("rules"), F.lit(None).cast("struct<priority:bigint,tag:string>"),
+        lambda first, rule: F.when(first.isNotNull(), first).when(
+            F.contains(F.col("text"), rule["pattern"]),
+            F.struct(rule["priority"].alias("priority"), rule["tag"].alias("tag"))))
+    first = F.least(found, always)
     return keyed.select("row.*", F.coalesce(first["tag"], F.lit(default)).alias(name))
