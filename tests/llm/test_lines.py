@@ -115,3 +115,14 @@ def test_names_that_were_used_inside(spark):
     got = lines.remove_boilerplate(df).orderBy("doc_id").collect()
     assert [(r["__key"], r["__drop"], r["row"], r["text_key"], r["drop"], r.text) for r in got] == [
         (f"k{i}", i, {"a": i}, "t", "d", f"own {i}") for i in range(30)]
+
+
+def test_pairs_of_words_are_hashed_once_for_all_copies(spark):
+    docs = spark.createDataFrame([(i, "shared\nown words of it", f"s{i}") for i in range(9)], SCHEMA)
+    spread = docs.select(F.md5(F.lit("shared")).alias("line")).distinct()
+    texts = lines._spread_in_texts(docs, "text", spread)
+    plan = texts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    paired = next(i for i, row in enumerate(plan) if "slice(" in row)
+    grouped = next(i for i, row in enumerate(plan) if "Aggregate [text_key" in row)
+    assert paired < grouped  # from the top down, so on the grouped texts
+    assert texts.count() == 1
