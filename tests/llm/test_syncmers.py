@@ -210,3 +210,30 @@ def test_ranges_of_ids_without_python(spark):
              (buckets[b] for b in sorted(buckets))]
     assert sum(order, []) == sorted(ids, key=lambda i: (i is None, i or 0)) and len(order) > 1
     assert [buckets[b][1] for b in sorted(buckets)] == [[own[0]] for own in order[1:] + order[:1]]
+
+
+def test_all_anchors_are_compared_beside_the_fingerprint(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefgh ", k=3000))
+    # An edit that no anchor of the fingerprint sees.
+    edited = next(e for e in (text[:i] + "é" + text[i + 1:] for i in range(100, 2900))
+                  if plain_fingerprint(e) == plain_fingerprint(text))
+    docs = list(enumerate([text, edited] + texts(13, 30)))
+    got = {r.id: r for r in sm.compare_with_next(spark.createDataFrame(docs, DOCS).repartition(3)).collect()}
+    assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1
+    assert got[0].anchors_sha256 != got[1].anchors_sha256 and 0.9 < got[0].near_next_all < 1
+
+    def every(text):
+        positions, hashes, _ = sm.anchors([text])
+        assert positions.tolist() == plain_anchors(text)
+        data = struct.pack(f"<{len(positions)}i", *positions) + struct.pack(f"<{len(hashes)}I", *hashes)
+        return hashes.tolist(), hashlib.sha256(data).hexdigest()
+
+    for (doc_id, text), (_, after) in zip(docs, docs[1:] + docs[:1]):
+        cut = len(text) // 4
+        (own, digest), (other, other_digest) = every(text), every(text[:len(text) - cut] + after[:cut])
+        row = got[doc_id]
+        assert (row.n_anchors, row.anchors_sha256, row.edited_anchors_sha256) == (
+            len(own), digest, other_digest)
+        assert row.near_edited_all == plain_likeness(own, other)
+        assert row.near_next_all == plain_likeness(own, every(after)[0])
