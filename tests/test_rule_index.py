@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewharf.operators import tag_rows
+from tidewharf.operators import rule_index, tag_rows
 
 RULES = "priority bigint, pattern string, tag string"
 
@@ -72,3 +72,32 @@ def test_no_rule_is_looked_for_after_the_first_found(spark):
     df = spark.createDataFrame([("one two",)], "t string")
     plan = tag_rows(df, "t", spark.createDataFrame(rules, RULES), "none")._jdf.queryExecution().toString()
     assert "aggregate(array_sort(" in plan and "filter(rules" not in plan
+
+
+def plan_after_run(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stretches_of_texts_are_not_shuffled_to_a_small_table(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(200)] * 3 + [None, ""]
+    rules = [(i, "".join(rng.choices("abcdefgh ", k=rng.randint(2, 7))), f"tag {i}") for i in range(300)]
+    expected = brute(texts, rules, "none")
+
+    def shuffled():
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(5)
+        plan = plan_after_run(tag_rows(df, "t", spark.createDataFrame(rules, RULES), "none"))
+        # Of all texts; those sampled for the index are grouped by their stretches.
+        return plan.partition("+- == Initial Plan ==")[0].count("Exchange hashpartitioning(gram")
+
+    assert tagged(spark, texts, rules) == expected
+    few = shuffled()
+    monkeypatch.setattr(rule_index, "SMALL_RULES", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert tagged(spark, texts, rules) == expected
+        assert shuffled() > few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -3,8 +3,10 @@
 Every rule is filed under one stretch of ``GRAM`` letters of its phrase, the one that the
 fewest texts hold, or the whole phrase if it is shorter. Texts give their distinct stretches, an
 equi-join meets them with the rules filed there, and only those are looked for in the text. No
-text is held against all rules, and the table is never collected; Spark broadcasts it only if
-it is small.
+text is held against all rules, and the table is never collected; it is broadcast only if it is
+measured as small. Then texts are dealt out by themselves first, so that their stretches, which
+are many times as long as they are, meet the rules and are grouped again without a shuffle. Else the
+stretches are shuffled to the rules.
 
 How many texts hold a stretch is counted over one text in ``SAMPLED``. That count decides which
 stretch a rule is filed under, so it changes the cost and never the result.
@@ -18,6 +20,8 @@ GRAM = 4
 SAMPLED = 16
 #: Rows with the same text are dealt into so many groups, so that copies do not crowd a task.
 SLICES = 64
+#: Rules, and bytes of their phrases and tags, up to which a table is small.
+SMALL_RULES, SMALL_BYTES = 1 << 16, 8 << 20
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:
@@ -31,21 +35,23 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def checked(rules: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The rules and the lengths of stretches they need; a null or a priority that two
-    rules share is an error."""
+def checked(rules: DataFrame) -> tuple[DataFrame, list[int], bool]:
+    """The rules, the lengths of stretches they need and whether the table is small; a null or
+    a priority that two rules share is an error."""
     rules = rules.select(F.col("priority").cast("bigint").alias("priority"), "pattern", "tag")
     row = rules.agg(
         F.count("*").alias("n"), F.count_distinct("priority").alias("priorities"),
         F.count_if(F.col("priority").isNull() | F.col("pattern").isNull() | F.col("tag").isNull()
                    ).alias("nulls"),
         F.collect_set(F.least(F.char_length("pattern"), F.lit(GRAM))).alias("sizes"),
+        F.sum(F.octet_length("pattern") + F.octet_length("tag")).alias("bytes"),
     ).first()
     if row["nulls"]:
         raise ValueError("a rule has a null")
     if row["priorities"] != row["n"]:
         raise ValueError("rule priorities must differ")
-    return rules, sorted(size for size in row["sizes"] if size)
+    small = row["n"] <= SMALL_RULES and (row["bytes"] or 0) <= SMALL_BYTES
+    return rules, sorted(size for size in row["sizes"] if size), small
 
 
 def _filed(rules: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFrame:
@@ -72,7 +78,7 @@ def tag_by_table(
     ``rules`` has columns ``priority``, ``pattern`` and ``tag``. A null text gets the default, an
     empty phrase is in every text; ``df`` keeps its columns, whatever their names.
     """
-    rules, sizes = checked(rules)
+    rules, sizes, small = checked(rules)
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keyed = df.select(
         F.struct(*[F.col(c) for c in df.columns if c != name]).alias("row"),
@@ -85,9 +91,13 @@ def tag_by_table(
             F.lit(everywhere["priority"]).cast("bigint").alias("priority"),
             F.lit(everywhere["tag"]).alias("tag")))
     if sizes:
+        filed = _filed(rules, keyed, sizes)
+        if small:
+            keyed, filed = keyed.repartition("key", "slice"), F.broadcast(filed)
         met = keyed.select("key", "slice", F.explode(_grams(F.col("text"), sizes)).alias("gram")).join(
-            _filed(rules, keyed, sizes), "gram")
-        met = met.groupBy("key", "slice").agg(F.collect_list("rule").alias("rules"))
+            filed, "gram")
+        # Copies of a text in one slice meet the same rules.
+        met = met.groupBy("key", "slice").agg(F.collect_set("rule").alias("rules"))
         keyed = keyed.join(met, ["key", "slice"], "left")
     else:
         keyed = keyed.withColumn("rules", F.lit(None).cast(
